@@ -21,6 +21,13 @@ from .components import bucket_links, connected_components
 _U = np.uint64
 _LEVEL_BITS, _POS_BITS = _U(40), _U(24)
 
+#: Signature components whose low four bits are kept beside a bucket, sixteen to a long.
+SKETCHED = 64
+
+#: Pairs with more different sketch components are not looked at. At similarity 0.8 the
+#: number is binomial with mean 12 and deviation 3.1; this many or more has odds below 1e-5.
+MAX_DIFFERENT = 27
+
 
 def shingle_sets(texts: list, words: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text (A-Z lower-cased); of a text
@@ -93,7 +100,9 @@ def _features(words: int, bands: int, rows: int):
             key = np.arange(1, bands + 1, dtype=np.uint64) * _U(0xA0761D6478BD642F) + np.zeros((len(sets), 1), np.uint64)
             for r in range(rows):
                 key = mix64(key + parts[:, :, r])
-        return {"n_shingles": [len(s) for s in sets], "node": [_digest(s) for s in sets], "bands": [k if len(s) else [] for k, s in zip(key.view(np.int64), sets)]}
+        nibbles = parts.reshape(len(sets), -1)[:, :SKETCHED] & _U(15)
+        sketch = np.bitwise_or.reduce(nibbles.reshape(len(sets), -1, 16) << (_U(4) * np.arange(16, dtype=np.uint64)), axis=2)
+        return {"n_shingles": [len(s) for s in sets], "node": [_digest(s) for s in sets], "bands": [k if len(s) else [] for k, s in zip(key.view(np.int64), sets)], "sketch": list(sketch.view(np.int64))}
 
     return run
 
@@ -102,13 +111,13 @@ def _digest(shingles: np.ndarray) -> bytes | None:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: int = 80, bands: int = 20, rows: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: int = 80, bands: int = 26, rows: int = 4) -> DataFrame:
     """One row for each row of docs: id_col, n_shingles, component_id, kept.
 
     Texts are linked when 100 * |A and B| >= similarity * |A or B| of their sets of
     distinct `words`-word shingles, found by bands of `rows` SuperMinHash components and
-    confirmed on the full sets. Of pairs at similarity 0.8 a band misses all with
-    probability (1 - 0.8**rows) ** bands, 6e-7 by default. component_id is the smallest
+    confirmed on the full sets. Pairs at similarity 0.8 share no band with probability
+    (1 - 0.8**rows) ** bands, 1e-6 by default, and fail the sketch with one below 1e-5. component_id is the smallest
     id reachable by links; kept is true where it is the row's own.
 
     Null and word-less texts have no shingle, are linked with nothing and kept. Rows with
@@ -117,11 +126,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept true. Other columns are not read. No rows give no rows.
     """
     docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    fields = [T.StructField("n_shingles", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+    fields = [T.StructField("n_shingles", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType()))]
     rows_of = materialize(annotate(docs, _features(words, bands, rows), fields, "text", ["id"]), "signatures")
     # one node for all rows with the same set; any of its rows gives its bands
-    nodes = materialize(rows_of.where("node is not null").groupBy("node").agg(F.min("id").alias("first"), F.min("n_shingles").alias("n"), F.min("bands").alias("bands")), "nodes")
-    members = nodes.select("node", "n", F.explode("bands").alias("bucket"))
+    nodes = materialize(rows_of.where("node is not null").groupBy("node").agg(F.min("id").alias("first"), F.min("n_shingles").alias("n"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch")), "nodes")
+    parts = [f"s{i}" for i in range(SKETCHED // 16)]
+    members = nodes.select("node", "n", *[F.col("sketch")[i].alias(c) for i, c in enumerate(parts)], F.explode("bands").alias("bucket"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = materialize(pairs, "pairs")
@@ -137,8 +147,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         joined = pairs.join(one, "a").join(two, "b").select("a", "b", both.alias("both"), (F.size("of_a") + F.size("of_b")).alias("total"))
         return joined.where(f"100 * both >= {similarity} * (total - both)").select("a", "b")
 
-    sizes = f"100 * least(x.n, y.n) >= {similarity} * greatest(x.n, y.n)"
-    _, label = bucket_links(members, verify, sizes, "near")
+    # a component differs where any of its four bits does
+    ones = 0x1111111111111111
+    differ = [f"bit_count(({x} | shiftrightunsigned({x}, 1) | shiftrightunsigned({x}, 2) | shiftrightunsigned({x}, 3)) & {ones}L)" for x in (f"(x.{c} ^ y.{c})" for c in parts)]
+    near = f"100 * least(x.n, y.n) >= {similarity} * greatest(x.n, y.n) and {' + '.join(differ)} <= {MAX_DIFFERENT}"
+    _, label = bucket_links(members, verify, near, "near")
     smallest = nodes.join(label, "node").groupBy("component").agg(F.min("first").alias("component_id"))
     named = label.join(smallest, "component").select("node", "component_id")
     alone = nodes.select("node", F.col("first").alias("own"))
