@@ -41,31 +41,66 @@ def _jump(parent: DataFrame) -> DataFrame:
     return parent.join(up, parent["p"] == up["v"]).select("u", F.col("q").alias("p"))
 
 
-def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], condition: str = "true", name: str = "links") -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) and components (node, component) of the nodes that share a bucket.
+#: Members of buckets up to this size are all compared with each other.
+SMALL = 8
+
+#: Hubs of a large bucket in the second round.
+SLOTS = 8
+
+
+def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], condition: str = "true", name: str = "links") -> DataFrame:
+    """Components (node, component) of the links between nodes that share a bucket.
 
     members: bucket, node and the columns that `condition` uses as x.col and y.col to rule
-    out pairs cheaply; verify keeps the true links of (a, b). First every member is
-    compared with the smallest of its bucket, the hub. Then, in buckets that are still in
-    several components, members outside the hub's are compared with those of other
-    components. So each pair of a bucket is compared, ruled out or already connected: the
-    components are those of all links."""
-    members = materialize(members, f"{name}-members")
+    out pairs cheaply; verify keeps the true links of pairs (a, b).
+
+    1. In small buckets all pairs are compared. In larger ones every member is compared
+       with the hub, the one with the most bucket mates: among near copies of one text
+       that is the one with the fewest changes, which most others are linked with.
+    2. Members of large buckets that are not in the hub's component are compared with the
+       best-connected ones of eight slots.
+    3. Those that are still outside are compared with all members of other components.
+
+    So each pair of a bucket is compared, ruled out or already connected: the components
+    are those of all links, and rounds 1 and 2 are linear in the members."""
     extra = [c for c in members.columns if c not in ("bucket", "node")]
-    hubs = members.groupBy("bucket").agg(F.min(F.struct("node", *extra)).alias("x"), F.max("node").alias("last")).where("x.node <> last").select(F.col("bucket").alias("at"), "x")
-    star = members.alias("y").join(hubs, F.expr(f"y.bucket = at and x.node <> y.node and ({condition})"))
-    star = materialize(star.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), f"{name}-star-pairs")
-    first = materialize(verify(star), f"{name}-star")
-    label = connected_components(first)
-    shared = members.join(hubs.select(F.col("at").alias("bucket"), F.col("x.node").alias("hub")), "bucket")
-    hub_label = label.select(F.col("node").alias("hub"), F.col("component").alias("hub_component"))
-    known = shared.join(label, "node", "left").join(hub_label, "hub", "left")
-    known = known.select("bucket", "node", F.coalesce("component", "node").alias("component"), F.coalesce("hub_component", "hub").alias("hub_component"), *extra)
-    known = materialize(known, f"{name}-known")
-    other = known.where("component <> hub_component")
-    ordered = "(x.node < y.node or y.component = y.hub_component)"
-    pairs = other.alias("x").join(known.alias("y"), F.expr(f"x.bucket = y.bucket and x.component <> y.component and {ordered} and ({condition})"))
-    pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    second = materialize(verify(pairs), f"{name}-rest")
-    links = first.union(second)
-    return links, label if second.isEmpty() else connected_components(links)
+    crowded = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialize(members.join(crowded, "bucket"), f"{name}-shared")
+    degree = shared.groupBy("node").agg(F.sum("n").alias("degree"))
+    shared = materialize(shared.join(degree, "node"), f"{name}-ranked")
+    own = F.struct("degree", "node", *extra)
+    hubs = shared.groupBy("bucket").agg(F.max(own).alias("x")).select(F.col("bucket").alias("at"), "x")
+    star = _pairs(shared.alias("y").join(hubs, F.expr(f"y.bucket = at and x.node <> y.node and ({condition})")))
+    few = shared.where(f"n between 3 and {SMALL}")
+    every = _pairs(few.alias("x").join(few.alias("y"), F.expr(f"x.bucket = y.bucket and x.node < y.node and ({condition})")))
+    pairs = materialize(star.union(every).distinct(), f"{name}-pairs")
+    links = materialize(verify(pairs), f"{name}-links")
+    label = connected_components(links)
+
+    def outside(label: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Large buckets with the components of members and hub; those members that are not in the hub's."""
+        hub_label = label.select(F.col("node").alias("hub"), F.col("component").alias("hub_component"))
+        large = shared.where(f"n > {SMALL}").join(hubs.select(F.col("at").alias("bucket"), F.col("x.node").alias("hub")), "bucket")
+        known = large.join(label, "node", "left").join(hub_label, "hub", "left").withColumn("component", F.coalesce("component", "node")).withColumn("hub_component", F.coalesce("hub_component", "hub"))
+        known = materialize(known, f"{name}-known")
+        return known, known.where("component <> hub_component")
+
+    for last in (False, True):
+        known, other = outside(label)
+        if last:
+            ordered = "(x.node < y.node or y.component = y.hub_component)"
+            near = other.alias("x").join(known.alias("y"), F.expr(f"x.bucket = y.bucket and x.component <> y.component and {ordered} and ({condition})"))
+        else:
+            best = known.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(SLOTS)).alias("slot")).agg(F.max(F.struct("degree", "node", "component", *extra)).alias("y")).select(F.col("bucket").alias("at"), "y")
+            near = other.alias("x").join(best, F.expr(f"x.bucket = at and x.component <> y.component and ({condition})"))
+        more = materialize(_pairs(near).distinct().join(pairs, ["a", "b"], "left_anti"), f"{name}-more")
+        if more.isEmpty():
+            continue
+        found = materialize(verify(more), f"{name}-found")
+        pairs, links = pairs.union(more), links.union(found)
+        label = label if found.isEmpty() else connected_components(links)
+    return label
+
+
+def _pairs(joined: DataFrame) -> DataFrame:
+    return joined.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
