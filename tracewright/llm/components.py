@@ -64,14 +64,14 @@ def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], c
     So each pair of a bucket is compared, ruled out or already connected: the components
     are those of all links, and rounds 1 and 2 are linear in the members."""
     extra = [c for c in members.columns if c not in ("bucket", "node")]
-    crowded = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    crowded = members.groupBy("bucket").agg(F.count("*").alias("mates")).where("mates > 1")
     shared = materialize(members.join(crowded, "bucket"), f"{name}-shared")
-    degree = shared.groupBy("node").agg(F.sum("n").alias("degree"))
+    degree = shared.groupBy("node").agg(F.sum("mates").alias("degree"))
     shared = materialize(shared.join(degree, "node"), f"{name}-ranked")
     own = F.struct("degree", "node", *extra)
     hubs = shared.groupBy("bucket").agg(F.max(own).alias("x")).select(F.col("bucket").alias("at"), "x")
     star = _pairs(shared.alias("y").join(hubs, F.expr(f"y.bucket = at and x.node <> y.node and ({condition})")))
-    few = shared.where(f"n between 3 and {SMALL}")
+    few = shared.where(f"mates between 3 and {SMALL}")
     every = _pairs(few.alias("x").join(few.alias("y"), F.expr(f"x.bucket = y.bucket and x.node < y.node and ({condition})")))
     pairs = materialize(star.union(every).distinct(), f"{name}-pairs")
     links = materialize(verify(pairs), f"{name}-links")
@@ -80,7 +80,7 @@ def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], c
     def outside(label: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Large buckets with the components of members and hub; those members that are not in the hub's."""
         hub_label = label.select(F.col("node").alias("hub"), F.col("component").alias("hub_component"))
-        large = shared.where(f"n > {SMALL}").join(hubs.select(F.col("at").alias("bucket"), F.col("x.node").alias("hub")), "bucket")
+        large = shared.where(f"mates > {SMALL}").join(hubs.select(F.col("at").alias("bucket"), F.col("x.node").alias("hub")), "bucket")
         known = large.join(label, "node", "left").join(hub_label, "hub", "left").withColumn("component", F.coalesce("component", "node")).withColumn("hub_component", F.coalesce("hub_component", "hub"))
         known = materialize(known, f"{name}-known")
         return known, known.where("component <> hub_component")
