@@ -22,7 +22,7 @@ from .common import annotate
 LENGTH, STRIDE = 64, 48
 
 #: Labelled texts that are learned from: so many of each label with the smallest hash of their id, of at most so many code points.
-TRAIN_PER_LABEL, TRAIN_POINTS = 1200, 20_000
+TRAIN_PER_LABEL, TRAIN_POINTS = 1000, 10_000
 
 WORD_BITS, GRAM_BITS, GRAMS = 14, 16, (3, 4, 5)
 WORD_DIM, GRAM_DIM, HIDDEN, ATTEND = 4, 8, 8, 8
@@ -181,12 +181,12 @@ def backward(p: dict, batch: Batch, used: np.ndarray, ids: np.ndarray, x: np.nda
     return g
 
 
-def _log_odds(text: np.ndarray, bucket: np.ndarray, label: np.ndarray, size: int) -> np.ndarray:
-    """Shrunk log-odds of label 1 of each bucket, given which texts have it."""
-    keys = np.unique(text * size + bucket)
-    pairs = np.stack((keys // size, keys % size), axis=1)
-    yes = np.bincount(pairs[label[pairs[:, 0]] == 1, 1], minlength=size)
-    no = np.bincount(pairs[label[pairs[:, 0]] == 0, 1], minlength=size)
+def _log_odds(buckets: list[np.ndarray], label: np.ndarray, size: int) -> np.ndarray:
+    """Shrunk log-odds of label 1 of each bucket, given the buckets of each text."""
+    count = np.zeros((2, size))
+    for y, own in zip(label, buckets):
+        count[y, np.unique(own)] += 1
+    no, yes = count
     odds = np.log((yes + 0.5) / ((label == 1).sum() + 1)) - np.log((no + 0.5) / ((label == 0).sum() + 1))
     return (np.clip(odds, -4, 4) * (yes + no) / (yes + no + 4)).astype(np.float32)
 
@@ -202,12 +202,12 @@ def start(batch: Batch, label: np.ndarray, rng: np.random.Generator) -> dict:
         p |= {"w" + side: small(WORD_DIM + GRAM_DIM, 3 * HIDDEN), "u" + side: small(HIDDEN, 3 * HIDDEN), "b" + side: np.zeros(3 * HIDDEN, np.float32)}
     p |= {"wa": small(2 * HIDDEN, ATTEND), "ba": np.zeros(ATTEND, np.float32), "va": small(ATTEND), "wo": small(2 * HIDDEN), "bo": np.array(0, np.float32)}
     word, gram, begin = batch.features
-    live = batch.ids < len(batch.words)
-    seen = np.unique(np.broadcast_to(batch.text, batch.ids.shape)[live] * len(batch.words) + batch.ids[live])
-    text, words = seen // max(1, len(batch.words)), seen % max(1, len(batch.words))
-    p["word"][:, 0] = _log_odds(text, word[words], label, 1 << WORD_BITS)
-    at, n = _ranges(begin, words)
-    p["gram"][:, 0] = _log_odds(np.repeat(text, n), gram[at], label, 1 << GRAM_BITS)
+    words = []
+    for i in range(len(label)):
+        own = np.unique(batch.ids[:, batch.text == i])
+        words.append(own[own < len(batch.words)])
+    p["word"][:, 0] = _log_odds([word[w] for w in words], label, 1 << WORD_BITS)
+    p["gram"][:, 0] = _log_odds([gram[_ranges(begin, w)[0]] for w in words], label, 1 << GRAM_BITS)
     return p
 
 
@@ -228,7 +228,7 @@ def fit(texts: list[str], labels: list[int], steps: int = 100, rate: float = 0.0
             odds = np.append(x[:, 0] + x[:, WORD_DIM], 0)
             score = np.maximum(odds, 0)[batch.ids].max(axis=0)
         else:
-            score = np.concatenate([forward(p, batch, batch.ids[:, i : i + 4096], x) for i in range(0, batch.ids.shape[1], 4096)])
+            score = np.concatenate([forward(p, batch, batch.ids[:, i : i + 1024], x) for i in range(0, batch.ids.shape[1], 1024)])
         order = np.lexsort((-score, batch.text))
         top = order[np.append(True, np.diff(batch.text[order]) > 0)]
         rng.shuffle(top)
