@@ -24,6 +24,11 @@ def text(x: Column | str) -> Column:
     return x.cast("string") if isinstance(x, Column) else F.lit(x)
 
 
+def let(x: Column, f) -> Column:
+    """f of x, with x computed once however often f uses it."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
 # names
 
 
@@ -80,26 +85,31 @@ def canonical_decimal(lex: Column) -> Column:
     zeros, exponent. Null for what is no finite decimal number."""
     number = r"^\s*([+-]?)([0-9]*)(?:\.([0-9]*))?(?:[eE]([+-]?[0-9]+))?\s*$"
     part = [F.regexp_extract(lex, number, i) for i in range(5)]
-    digits = F.concat(part[2], part[3])
-    kept = F.regexp_replace(digits, "^0+", "")
-    short = F.regexp_replace(kept, "0+$", "")
-    power = F.coalesce(F.nullif(part[4], F.lit("")).try_cast("decimal(20,0)"), F.lit(0)) - F.length(part[3]) + F.length(kept) - F.length(short)
-    sign = F.when(part[1] == "-", "-").otherwise("")
-    good = lex.rlike(number) & (digits != "")
-    return F.when(good, F.when(short == "", F.lit("0")).otherwise(F.concat(sign, short, F.lit("e"), power.cast("decimal(21,0)").cast("string"))))
+    parts = F.struct(part[1].alias("sign"), F.concat(part[2], part[3]).alias("digits"), F.length(part[3]).alias("fraction"), F.coalesce(F.nullif(part[4], F.lit("")).try_cast("decimal(20,0)"), F.lit(0)).alias("e"))
+
+    def shown(p: Column) -> Column:
+        kept = F.regexp_replace(p["digits"], "^0+", "")
+        return let(F.struct(kept.alias("kept"), F.regexp_replace(kept, "0+$", "").alias("short")), lambda k: F.when(k["short"] == "", F.lit("0")).otherwise(
+            F.concat(F.when(p["sign"] == "-", "-").otherwise(""), k["short"], F.lit("e"), (p["e"] - p["fraction"] + F.length(k["kept"]) - F.length(k["short"])).cast("decimal(21,0)").cast("string"))))
+
+    return F.when(lex.rlike(number), let(parts, lambda p: F.when(p["digits"] != "", shown(p))))
 
 
 def canonical_xsd(lex: Column) -> Column:
     """xsd:int, xsd:long or xsd:integer for a whole number of any length, by size."""
     digits = F.regexp_replace(F.regexp_replace(F.trim(lex), r"^[+-]", ""), "^0+(?=.)", "")
-    negative = F.startswith(F.trim(lex), F.lit("-"))
-    long = F.when(F.length(digits) < 20, digits.try_cast("decimal(20,0)"))
 
-    def fits(bits: int) -> Column:
-        top = F.when(negative, F.lit(str(2**bits))).otherwise(F.lit(str(2**bits - 1))).cast("decimal(20,0)")
-        return F.coalesce(long <= top, F.lit(False))
+    def size(d: Column) -> Column:
+        negative = d["negative"]
 
-    return F.when(fits(31), "xsd:int").when(fits(63), "xsd:long").otherwise("xsd:integer")
+        def fits(bits: int) -> Column:
+            top = F.when(negative, F.lit(str(2**bits))).otherwise(F.lit(str(2**bits - 1))).cast("decimal(20,0)")
+            return F.coalesce(d["n"] <= top, F.lit(False))
+
+        return F.when(fits(31), "xsd:int").when(fits(63), "xsd:long").otherwise("xsd:integer")
+
+    number = F.when(F.length(digits) < 20, digits.try_cast("decimal(20,0)"))
+    return let(F.struct(number.alias("n"), F.startswith(F.trim(lex), F.lit("-")).alias("negative")), size)
 
 
 def parse_boolean(lex: Column) -> Column:
@@ -130,48 +140,61 @@ def parse_datetime(lex: Column) -> Column:
     makes it aware."""
     s = F.trim(lex)
     form = r"^([0-9]{4}-[0-9]{2}-[0-9]{2})T([0-9]{2}:[0-9]{2})(?::([0-9]{2})(?:\.([0-9]+))?)?(Z|[+-][0-9]{2}:[0-9]{2})?$"
-    day, clock, second, fraction, zone = (F.regexp_extract(s, form, i) for i in range(1, 6))
-    midnight = (clock == "24:00") & (second == "00") & (F.regexp_replace(fraction, "0+", "") == "")
-    shown = F.concat(day, F.lit(" "), F.when(midnight, F.lit("00:00")).otherwise(clock), F.lit(":"), F.when(second == "", "00").otherwise(second), F.lit("."), F.substring(F.rpad(fraction, 6, "0"), 1, 6))
-    naive = shown.try_cast("timestamp_ntz")
-    hours, minutes = F.substring(zone, 2, 2).try_cast("int"), F.substring(zone, 5, 2).try_cast("int")
-    good = s.rlike(form) & naive.isNotNull() & ((F.length(zone) < 2) | ((hours < 24) & (minutes < 60)))
-    offset = F.when(F.length(zone) == 6, (hours * 60 + minutes) * F.when(F.startswith(zone, F.lit("-")), -1).otherwise(1)).otherwise(0)
-    micros = _micros(naive) + F.when(midnight, F.lit(86_400_000_000)).otherwise(0) - offset.cast("long") * 60_000_000
-    local = F.when(midnight, naive + F.expr("interval 1 day")).otherwise(naive)
-    shown_zone = F.when(zone == "Z", "+00:00").otherwise(zone)
-    return F.when(good, F.struct(F.concat(isoformat(local), shown_zone).alias("lex"), micros.alias("micros"), (zone != "").alias("aware")))
+    names = ("day", "clock", "second", "fraction", "zone")
+    parts = F.struct(*[F.regexp_extract(s, form, i + 1).alias(n) for i, n in enumerate(names)])
+
+    def moment(p: Column) -> Column:
+        midnight = (p["clock"] == "24:00") & (p["second"] == "00") & (F.regexp_replace(p["fraction"], "0+", "") == "")
+        shown = F.concat(p["day"], F.lit(" "), F.when(midnight, F.lit("00:00")).otherwise(p["clock"]), F.lit(":"), F.when(p["second"] == "", "00").otherwise(p["second"]), F.lit("."), F.substring(F.rpad(p["fraction"], 6, "0"), 1, 6))
+        zone = p["zone"]
+        hours, minutes = F.substring(zone, 2, 2).try_cast("int"), F.substring(zone, 5, 2).try_cast("int")
+        offset = F.when(F.length(zone) == 6, (hours * 60 + minutes) * F.when(F.startswith(zone, F.lit("-")), -1).otherwise(1)).otherwise(0)
+        good = (F.length(zone) < 2) | ((hours < 24) & (minutes < 60))
+        return F.struct(shown.try_cast("timestamp_ntz").alias("naive"), midnight.alias("midnight"), offset.alias("offset"), good.alias("good"), F.when(zone == "Z", "+00:00").otherwise(zone).alias("zone"))
+
+    def made(m: Column) -> Column:
+        local = F.when(m["midnight"], m["naive"] + F.expr("interval 1 day")).otherwise(m["naive"])
+        micros = _micros(local) - m["offset"].cast("long") * 60_000_000
+        return F.when(m["good"] & m["naive"].isNotNull(), F.struct(F.concat(isoformat(local), m["zone"]).alias("lex"), micros.alias("micros"), (m["zone"] != "").alias("aware")))
+
+    return F.when(s.rlike(form), let(let(parts, moment), made))
 
 
 def float_text(x: Column) -> Column:
     """Shortest text of a double as in the textual notation: plain for decimal exponents
     from -4 to 15, else like 1e+16, with two exponent digits at least."""
-    s = x.cast("double").cast("string")
-    sign = F.when(F.startswith(s, F.lit("-")), "-").otherwise("")
-    bare = F.regexp_replace(s, "^-", "")
-    whole, rest, power = (F.regexp_extract(bare, r"^([0-9]+)\.([0-9]+)(?:E(-?[0-9]+))?$", i) for i in (1, 2, 3))
-    e = F.coalesce(power.try_cast("int"), F.lit(0))
-    rest = F.when(rest == "0", "").otherwise(rest)
-    digits = F.concat(whole, rest)
-    plain_big = F.concat(F.rpad(F.substr(digits, F.lit(1), e + 1), 30, "0").substr(F.lit(1), e + 1), F.lit("."), F.coalesce(F.nullif(F.substr(digits, e + 2), F.lit("")), F.lit("0")))
-    plain_small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)
-    mantissa = F.when(rest == "", whole).otherwise(F.concat_ws(".", whole, rest))
-    science = F.concat(mantissa, F.lit("e"), F.when(e < 0, "-").otherwise("+"), F.lpad(F.abs(e).cast("string"), 2, "0"))
-    science = F.when(F.abs(e) >= 100, F.concat(mantissa, F.lit("e"), F.when(e < 0, "-").otherwise("+"), F.abs(e).cast("string"))).otherwise(science)
-    shown = F.when(e == 0, bare).when((e > 0) & (e < 16), plain_big).when((e < 0) & (e >= -4), plain_small).otherwise(science)
-    odd = F.when(s == "NaN", "nan").when(s == "Infinity", "inf").when(s == "-Infinity", "-inf")
-    return F.coalesce(odd, F.concat(sign, shown))
+    form = r"^-?([0-9]+)\.([0-9]+)(?:E(-?[0-9]+))?$"
+
+    def parts(s: Column) -> Column:
+        whole, rest, power = (F.regexp_extract(s, form, i) for i in (1, 2, 3))
+        return F.struct(s.alias("s"), F.when(F.startswith(s, F.lit("-")), "-").otherwise("").alias("sign"), whole.alias("whole"), F.when(rest == "0", "").otherwise(rest).alias("rest"), F.coalesce(power.try_cast("int"), F.lit(0)).alias("e"))
+
+    def shown(p: Column) -> Column:
+        e, digits = p["e"], F.concat(p["whole"], p["rest"])
+        large = F.concat(F.substr(F.rpad(digits, 30, "0"), F.lit(1), e + 1), F.lit("."), F.coalesce(F.nullif(F.substr(digits, e + 2), F.lit("")), F.lit("0")))
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)
+        mantissa = F.concat_ws(".", p["whole"], F.nullif(p["rest"], F.lit("")))
+        power = F.when(F.abs(e) < 10, F.lpad(F.abs(e).cast("string"), 2, "0")).otherwise(F.abs(e).cast("string"))
+        science = F.concat(mantissa, F.lit("e"), F.when(e < 0, "-").otherwise("+"), power)
+        plain = F.regexp_replace(p["s"], "^-", "")
+        text = F.when(e == 0, plain).when((e > 0) & (e < 16), large).when((e < 0) & (e >= -4), small).otherwise(science)
+        odd = F.when(p["s"] == "NaN", "nan").when(p["s"] == "Infinity", "inf").when(p["s"] == "-Infinity", "-inf")
+        return F.coalesce(odd, F.concat(p["sign"], text))
+
+    return let(let(x.cast("double").cast("string"), parts), shown)
 
 
 # values
 
 
-def value(kind: str, lex: Column, datatype: str | None = None, lang: Column | None = None, cmp: Column | None = None) -> Column:
-    made = F.struct(
-        F.lit(kind).alias("kind"), lex.alias("lex"), F.lit(datatype).cast("string").alias("datatype"),
-        (F.lit(None).cast("string") if lang is None else lang).alias("lang"), (lex if cmp is None else cmp).alias("cmp"),
-    )
-    return F.when(lex.isNotNull(), made)
+def value(kind: str, lex: Column, datatype: str | None = None, lang: Column | None = None, cmp=None) -> Column:
+    """A value; cmp makes what it is compared by from its text, the text itself by default."""
+
+    def made(x: Column) -> Column:
+        own = x if cmp is None else cmp(x)
+        return F.when(x.isNotNull(), F.struct(F.lit(kind).alias("kind"), x.alias("lex"), F.lit(datatype).cast("string").alias("datatype"), (F.lit(None).cast("string") if lang is None else lang).alias("lang"), own.alias("cmp")))
+
+    return let(lex, made)
 
 
 def v_str(x: Column | str) -> Column:
@@ -179,13 +202,11 @@ def v_str(x: Column | str) -> Column:
 
 
 def v_int(x: Column | int) -> Column:
-    lex = text(x if isinstance(x, Column) else F.lit(x))
-    return value("int", lex, cmp=canonical_decimal(lex))
+    return value("int", text(x if isinstance(x, Column) else F.lit(x)), cmp=canonical_decimal)
 
 
 def v_float(x: Column) -> Column:
-    lex = float_text(x)
-    return value("float", lex, cmp=F.when(x == 0, F.lit("0.0")).otherwise(lex))
+    return value("float", float_text(x), cmp=lambda t: F.when(t == "-0.0", "0.0").otherwise(t))
 
 
 def v_bool(x: Column) -> Column:
@@ -197,20 +218,20 @@ def v_iri(uri: Column) -> Column:
 
 
 def v_qname(n: Column) -> Column:
-    return value("qname", name_text(n), cmp=n["uri"])
+    return let(n, lambda m: value("qname", name_text(m), cmp=lambda _: m["uri"]))
 
 
 def v_datetime(t: Column) -> Column:
-    return value("datetime", t["lex"], cmp=F.concat(F.when(t["aware"], "A").otherwise("N"), t["micros"].cast("string")))
+    return let(t, lambda m: value("datetime", m["lex"], cmp=lambda _: F.concat(F.when(m["aware"], "A").otherwise("N"), m["micros"].cast("string"))))
 
 
 def v_literal(lex: Column, datatype: str, lang: Column | None = None) -> Column:
     """A literal with a datatype uri; a language tag forces the datatype of language strings."""
-    same = F.coalesce(canonical_decimal(lex), lex) if datatype == XSD + "decimal" else lex
+    number = datatype == XSD + "decimal"
     if lang is not None:
         datatype = PROV + "InternationalizedString"
     tag = F.lit("") if lang is None else F.coalesce(F.lower(lang), F.lit(""))
-    return value("literal", lex, datatype, lang, F.concat_ws("|", F.lit(datatype), tag, same))
+    return value("literal", lex, datatype, lang, lambda x: F.concat_ws("|", F.lit(datatype), tag, F.coalesce(canonical_decimal(x), x) if number else x))
 
 
 def quote(s: Column) -> Column:
