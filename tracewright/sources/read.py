@@ -80,7 +80,7 @@ def prefixes_of(documents: DataFrame, text_col: str = "text") -> DataFrame:
                     found = turtle(text or "")[1]
                 except Exception:
                     found = {}
-                yield pd.DataFrame({"doc_id": [doc_id] * len(found), "scope": [""] * len(found), "seq": range(len(found)), "prefix": list(found), "uri": list(found.values())})
+                yield pd.DataFrame({"doc_id": [doc_id] * len(found), "scope": [""] * len(found), "seq": range(len(found)), "prefix": list(found), "uri": list(found.values())}, dtype=object)
 
     return documents.select("doc_id", text_col).mapInPandas(run, "doc_id string, scope string, seq long, prefix string, uri string")
 

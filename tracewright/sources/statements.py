@@ -42,10 +42,7 @@ def flatten_documents(documents: DataFrame, parse: Callable[[str], Iterator[dict
                     rows = list(parse(text or ""))
                 except Exception as error:  # any defect of one document is told in its row
                     rows = [{"what": "error", "lex": f"{type(error).__name__}: {error}"}]
-                frame = pd.DataFrame([{f: r.get(f) for f in _FIELDS} for r in rows], columns=_FIELDS, dtype=object)
-                frame["doc_id"] = doc_id
-                frame["scope"] = frame["scope"].fillna("")
-                yield frame
+                yield pd.DataFrame([{f: r.get(f) for f in _FIELDS} | {"doc_id": doc_id, "scope": r.get("scope") or ""} for r in rows], columns=_FIELDS, dtype=object)
 
     return documents.select("doc_id", text_col).mapInPandas(run, FLAT)
 
