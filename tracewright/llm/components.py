@@ -48,11 +48,12 @@ SMALL = 8
 SLOTS = 8
 
 
-def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], condition: str = "true", name: str = "links") -> DataFrame:
+def bucket_links(members: DataFrame, facts: DataFrame, verify: Callable[[DataFrame], DataFrame], condition: str = "true", name: str = "links") -> DataFrame:
     """Components (node, component) of the links between nodes that share a bucket.
 
-    members: bucket, node and the columns that `condition` uses as x.col and y.col to rule
-    out pairs cheaply; verify keeps the true links of pairs (a, b).
+    members: bucket and node; facts: node and the columns that `condition` uses as x.col
+    and y.col to rule out pairs cheaply, joined only to the members of shared buckets;
+    verify keeps the true links of pairs (a, b).
 
     1. In small buckets all pairs are compared. In larger ones every member is compared
        with the hub, the one with the most bucket mates: among near copies of one text
@@ -63,11 +64,11 @@ def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], c
 
     So each pair of a bucket is compared, ruled out or already connected: the components
     are those of all links, and rounds 1 and 2 are linear in the members."""
-    extra = [c for c in members.columns if c not in ("bucket", "node")]
+    extra = [c for c in facts.columns if c != "node"]
     crowded = members.groupBy("bucket").agg(F.count("*").alias("mates")).where("mates > 1")
     shared = materialize(members.join(crowded, "bucket"), f"{name}-shared")
     degree = shared.groupBy("node").agg(F.sum("mates").alias("degree"))
-    shared = materialize(shared.join(degree, "node"), f"{name}-ranked")
+    shared = materialize(shared.join(degree, "node").join(facts, "node"), f"{name}-ranked")
     own = F.struct("degree", "node", *extra)
     hubs = shared.groupBy("bucket").agg(F.max(own).alias("x")).select(F.col("bucket").alias("at"), "x")
     star = _pairs(shared.alias("y").join(hubs, F.expr(f"y.bucket = at and x.node <> y.node and ({condition})")))

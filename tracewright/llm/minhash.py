@@ -130,7 +130,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # one node for all rows with the same set; any of its rows gives its bands
     nodes = materialize(rows_of.where("node is not null").groupBy("node").agg(F.min("id").alias("first"), F.min("n_shingles").alias("n"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch")), "nodes")
     parts = [f"s{i}" for i in range(-(-bands * rows // 16))]
-    members = nodes.select("node", "n", *[F.col("sketch")[i].alias(c) for i, c in enumerate(parts)], F.explode("bands").alias("bucket"))
+    members = nodes.select("node", F.explode("bands").alias("bucket"))
+    facts = nodes.select("node", "n", *[F.col("sketch")[i].alias(c) for i, c in enumerate(parts)])
 
     def verify(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -149,7 +150,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ones = 0x1111111111111111
     differ = [f"bit_count(({x} | shiftrightunsigned({x}, 1) | shiftrightunsigned({x}, 2) | shiftrightunsigned({x}, 3)) & {ones}L)" for x in (f"(x.{c} ^ y.{c})" for c in parts)]
     near = f"100 * least(x.n, y.n) >= {similarity} * greatest(x.n, y.n) and {' + '.join(differ)} <= {int(MAX_DIFFERENT * bands * rows)}"
-    label = bucket_links(members, verify, near, "near")
+    label = bucket_links(members, facts, verify, near, "near")
     smallest = nodes.join(label, "node").groupBy("component").agg(F.min("first").alias("component_id"))
     named = label.join(smallest, "component").select("node", "component_id")
     alone = nodes.select("node", F.col("first").alias("own"))
