@@ -162,7 +162,8 @@ def parse_datetime(lex: Column) -> Column:
 
 def float_text(x: Column) -> Column:
     """Shortest text of a double as in the textual notation: plain for decimal exponents
-    from -4 to 15, else like 1e+16, with two exponent digits at least."""
+    from -4 to 15, else like 1e+16, with two exponent digits at least. Digits are the JVM's,
+    which before version 19 has one too many for a few numbers; they read back equal."""
     form = r"^-?([0-9]+)\.([0-9]+)(?:E(-?[0-9]+))?$"
 
     def parts(s: Column) -> Column:
