@@ -21,10 +21,16 @@ from .components import bucket_links, connected_components
 _U = np.uint64
 _LEVEL_BITS, _POS_BITS = _U(40), _U(24)
 
-#: Share of sketch components (the low four bits of signature components) that may differ in
-#: a pair that is looked at. At similarity 0.8 and 104 components the number is binomial with
-#: mean 19.5 and deviation 4; more than 38 differ with odds below 1e-5.
-MAX_DIFFERENT = 38 / 104
+#: Components of a signature. Bands take the first of them; the sketch is the low four bits of all.
+SIZE = 256
+
+#: Pairs with more different sketch components are not looked at. At similarity 0.8 the number
+#: is binomial with mean 48 and deviation 6.2; more than this differ with odds below 1e-5.
+MAX_DIFFERENT = 76
+
+
+#: Texts whose signatures are made together; bounds the table of permutations.
+GROUP = 100
 
 
 def shingle_sets(texts: list, words: int) -> list[np.ndarray]:
@@ -93,14 +99,13 @@ def _swap(order: np.ndarray, level: int, place: np.ndarray) -> None:
 def _features(words: int, bands: int, rows: int):
     def run(texts: list) -> dict:
         sets = shingle_sets(texts, words)
-        parts = super_minhash(sets, bands * rows).reshape(len(sets), bands, rows)
+        signature = np.concatenate([super_minhash(sets[i : i + GROUP], SIZE) for i in range(0, len(sets), GROUP)])
+        parts = signature[:, : bands * rows].reshape(len(sets), bands, rows)
         with np.errstate(over="ignore"):
             key = np.arange(1, bands + 1, dtype=np.uint64) * _U(0xA0761D6478BD642F) + np.zeros((len(sets), 1), np.uint64)
             for r in range(rows):
                 key = mix64(key + parts[:, :, r])
-        nibbles = np.zeros((len(sets), 16 * -(-bands * rows // 16)), np.uint64)
-        nibbles[:, : bands * rows] = parts.reshape(len(sets), -1) & _U(15)
-        sketch = np.bitwise_or.reduce(nibbles.reshape(len(sets), -1, 16) << (_U(4) * np.arange(16, dtype=np.uint64)), axis=2)
+        sketch = np.bitwise_or.reduce((signature & _U(15)).reshape(len(sets), -1, 16) << (_U(4) * np.arange(16, dtype=np.uint64)), axis=2)
         return {"n_shingles": [len(s) for s in sets], "node": [_digest(s) for s in sets], "bands": [k if len(s) else [] for k, s in zip(key.view(np.int64), sets)], "sketch": list(sketch.view(np.int64))}
 
     return run
@@ -129,7 +134,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows_of = materialize(annotate(docs, _features(words, bands, rows), fields, "text", ["id"]), "signatures")
     # one node for all rows with the same set; any of its rows gives its bands
     nodes = materialize(rows_of.where("node is not null").groupBy("node").agg(F.min("id").alias("first"), F.min("n_shingles").alias("n"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch")), "nodes")
-    parts = [f"s{i}" for i in range(-(-bands * rows // 16))]
+    parts = [f"s{i}" for i in range(SIZE // 16)]
     members = nodes.select("node", F.explode("bands").alias("bucket"))
     facts = nodes.select("node", "n", *[F.col("sketch")[i].alias(c) for i, c in enumerate(parts)])
 
@@ -149,7 +154,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # a component differs where any of its four bits does
     ones = 0x1111111111111111
     differ = [f"bit_count(({x} | shiftrightunsigned({x}, 1) | shiftrightunsigned({x}, 2) | shiftrightunsigned({x}, 3)) & {ones}L)" for x in (f"(x.{c} ^ y.{c})" for c in parts)]
-    near = f"100 * least(x.n, y.n) >= {similarity} * greatest(x.n, y.n) and {' + '.join(differ)} <= {int(MAX_DIFFERENT * bands * rows)}"
+    near = f"100 * least(x.n, y.n) >= {similarity} * greatest(x.n, y.n) and {' + '.join(differ)} <= {MAX_DIFFERENT}"
     label = bucket_links(members, facts, verify, near, "near")
     smallest = nodes.join(label, "node").groupBy("component").agg(F.min("first").alias("component_id"))
     named = label.join(smallest, "component").select("node", "component_id")
