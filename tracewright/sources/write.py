@@ -116,6 +116,7 @@ def jsonld_statement(records: DataFrame) -> Column:
     return F.when(F.col("rtype") == "Mention", F.raise_error(F.lit("a mention has no JSON-LD form"))).otherwise(made)
 
 
+# Fixed value: the context that the JSON-LD notation names.
 CONTEXT_URL = "https://openprovenance.org/prov-jsonld/context.jsonld"
 
 
