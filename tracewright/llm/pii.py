@@ -164,6 +164,10 @@ def fit(texts: list[str], steps: int = 300, rate: float = 0.05) -> dict:
     if not len(field.given):
         return p
     y = np.eye(n_labels)[field.given]
+    # a repeat of something found that no pattern covers is unknown, not known to be nothing
+    known = np.ones((len(y), 1))
+    for a, b in (field.skip.T, field.skip[:, ::-1].T):
+        known[b[(field.given[a] > 0) & (field.given[b] == 0)]] = 0
     m, v = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
     near = {}
     for name, edges in (("chain", field.chain), ("skip", field.skip)):
@@ -176,7 +180,7 @@ def fit(texts: list[str], steps: int = 300, rate: float = 0.05) -> dict:
         for name, (fore, back) in near.items():
             logit = logit + fore @ p[name] + back @ p[name].T
         q = np.exp(logit - logit.max(axis=1, keepdims=True))
-        d = (q / q.sum(axis=1, keepdims=True) - y) / len(y)
+        d = known * (q / q.sum(axis=1, keepdims=True) - y) / len(y)
         g = {"w": field.x.T @ d + 1e-4 * p["w"]}
         for name, (fore, back) in near.items():
             g[name] = fore.T @ d + (back.T @ d).T + 1e-4 * (p[name] - prior[name])
