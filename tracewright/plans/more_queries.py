@@ -180,7 +180,20 @@ SELECT k, p, s FROM (SELECT k, unnest(ps) AS p, ss FROM g) a, LATERAL (SELECT un
 """)
 def cartesian_expand(spark, sf):
     """A formal attribute with several values gives a statement for each combination."""
-    g = lift.table(spark, sf, "lineitem", "l_orderkey % 10 = 0").groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_set("l_partkey").alias("ps"), F.collect_set("l_suppkey").alias("ss"))
+    return _combinations(lift.table(spark, sf, "lineitem", "l_orderkey % 10 = 0"))
+
+
+@query("""
+WITH g AS (SELECT l_orderkey AS k, list(DISTINCT l_partkey) AS ps, list(DISTINCT l_suppkey) AS ss FROM lineitem GROUP BY 1)
+SELECT k, p, s FROM (SELECT k, unnest(ps) AS p, ss FROM g) a, LATERAL (SELECT unnest(ss) AS s) b
+""")
+def cartesian_expand_whole(spark, sf):
+    """cartesian_expand of all orders."""
+    return _combinations(lift.table(spark, sf, "lineitem"))
+
+
+def _combinations(lines):
+    g = lines.groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_set("l_partkey").alias("ps"), F.collect_set("l_suppkey").alias("ss"))
     return g.select("k", F.explode("ps").alias("p"), "ss").select("k", "p", F.explode("ss").alias("s"))
 
 
