@@ -113,33 +113,21 @@ def test_lines(spark):
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, n_lines string").repartition(4)
     out = line_dedup.dedup_lines(docs).collect()
     assert len(out) == len(rows) and set(out[0].asDict()) == {"doc_id", "text", "n_lines", "n_removed"}
-    norm = lambda line: " ".join(line.lower().split())
+    norm = lambda line: " ".join(line.lower().replace("~", " ").split())
     lines = sorted({(i, p, norm(x)) for i, t in rows for p, x in enumerate((t or "").split("\n")) if norm(x)})
     source = docs.selectExpr("doc_id as id", "text").where("text is not null")
     _, stays = line_dedup.line_groups(source)
     key = lambda n: hashlib.md5(n.encode()).digest()
     place = {bytes(r.key): (r.first.id, r.first.pos) for r in stays.collect()}
-    marks = {bytes(r.key): r for r in line_dedup.line_signatures(source).collect()}
     texts = sorted({n for _, _, n in lines})
-    similar = [(a, b) for b in range(len(texts)) for a in range(b) if min(len(texts[a].split()), len(texts[b].split())) >= line_dedup.MIN_WORDS and distance(texts[a], texts[b]) <= 0.2 * max(len(texts[a]), len(texts[b]))]
-
-    def bits(a, b):
-        return bin(marks[key(texts[a])].sim ^ marks[key(texts[b])].sim).count("1")
-
-    def looked_at(a, b):
-        x, y = marks[key(texts[a])], marks[key(texts[b])]
-        block = any(((x.sim ^ y.sim) >> i) % 1024 == 0 for i in (0, 10, 21, 31, 42, 52))
-        return block and (x.even is not None and x.even == y.even or x.odd is not None and x.odd == y.odd) and bits(a, b) <= line_dedup.MAX_BITS
-
-    # exactly the similar pairs that agree on a block and an anchor are linked
-    want = union_find(len(texts), [(a, b) for a, b in similar if looked_at(a, b)])
+    similar = [(a, b) for b in range(len(texts)) for a in range(b) if distance(texts[a], texts[b]) <= 0.2 * max(len(texts[a]), len(texts[b]))]
+    # exactly the groups of all similar lines are linked
+    want = union_find(len(texts), similar)
     for t, r in zip(texts, want):
         own = [(i, p) for i, p, n in lines if n == t]
         group = [(i, p) for i, p, n in lines if want[texts.index(n)] == r]
         assert place.get(key(t), own[0]) == min(group)
         assert (key(t) in place) == (len(group) > 1)
-    # every similar pair within five bits that has an anchor in common is among them, and most similar pairs here are
-    assert sum(looked_at(a, b) for a, b in similar) >= 0.7 * len(similar)
     for r in out:
         before = next(t for i, t in rows if i == r.doc_id)
         keep = [x for p, x in enumerate((before or "").split("\n")) if not norm(x) or place.get(key(norm(x)), (r.doc_id, p)) == (r.doc_id, p)]

@@ -44,23 +44,29 @@ def _jump(parent: DataFrame) -> DataFrame:
 #: Members of buckets up to this size are all compared with each other.
 SMALL = 8
 
-#: Hubs of a large bucket in the second round.
+#: Best-connected members of a large bucket that others are compared with.
 SLOTS = 8
 
+#: Members of a bucket that one task compares with as many others; larger buckets are cut into a grid.
+GRID = 2000
 
-def bucket_links(members: DataFrame, facts: DataFrame, verify: Callable[[DataFrame], DataFrame], condition: str = "true", name: str = "links") -> DataFrame:
+
+def bucket_components(members: DataFrame, facts: DataFrame, verify: Callable[[DataFrame], DataFrame], condition: str = "true", name: str = "links", prepare: Callable[[DataFrame], None] | None = None) -> DataFrame:
     """Components (node, component) of the links between nodes that share a bucket.
 
     members: bucket and node; facts: node and the columns that `condition` uses as x.col
     and y.col to rule out pairs cheaply, joined only to the members of shared buckets;
-    verify keeps the true links of pairs (a, b).
-
-    1. In small buckets all pairs are compared. In larger ones every member is compared
-       with the hub, the one with the most bucket mates: among near copies of one text
-       that is the one with the fewest changes, which most others are linked with.
-    2. Members of large buckets that are not in the hub's component are compared with the
-       best-connected ones of eight slots.
-    3. Those that are still outside are compared with all members of other components.
+    verify keeps the true links of pairs (a, b); prepare, if given, is called once before with
+    the nodes (node) that a pair may have.
+
+    1. Every node is compared with one other: the best-connected hub of its buckets. A hub is
+       the member with the most bucket mates; among near copies of one text that is the one
+       with the fewest changes, which most others are linked with.
+    2. Every node is compared with the hubs of its other buckets, in small buckets with all
+       members, and outside the hub's component in large ones with the best-connected members of
+       eight slots, where the two are not connected yet.
+    3. Those that are still outside are compared with all members of other components; large
+       buckets are cut into a grid for that, so that no task has more than a cell of it.
 
     So each pair of a bucket is compared, ruled out or already connected: the components
     are those of all links, and rounds 1 and 2 are linear in the members."""
@@ -69,39 +75,56 @@ def bucket_links(members: DataFrame, facts: DataFrame, verify: Callable[[DataFra
     shared = materialize(members.join(crowded, "bucket"), f"{name}-shared")
     degree = shared.groupBy("node").agg(F.sum("mates").alias("degree"))
     shared = materialize(shared.join(degree, "node").join(facts, "node"), f"{name}-ranked")
-    own = F.struct("degree", "node", *extra)
-    hubs = shared.groupBy("bucket").agg(F.max(own).alias("x")).select(F.col("bucket").alias("at"), "x")
-    star = _pairs(shared.alias("y").join(hubs, F.expr(f"y.bucket = at and x.node <> y.node and ({condition})")))
-    few = shared.where(f"mates between 3 and {SMALL}")
-    every = _pairs(few.alias("x").join(few.alias("y"), F.expr(f"x.bucket = y.bucket and x.node < y.node and ({condition})")))
-    pairs = materialize(star.union(every).distinct(), f"{name}-pairs")
-    links = materialize(verify(pairs), f"{name}-links")
-    label = connected_components(links)
-
-    def outside(label: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Large buckets with the components of members and hub; those members that are not in the hub's."""
-        hub_label = label.select(F.col("node").alias("hub"), F.col("component").alias("hub_component"))
-        large = shared.where(f"mates > {SMALL}").join(hubs.select(F.col("at").alias("bucket"), F.col("x.node").alias("hub")), "bucket")
-        known = large.join(label, "node", "left").join(hub_label, "hub", "left").withColumn("component", F.coalesce("component", "node")).withColumn("hub_component", F.coalesce("hub_component", "hub"))
-        known = materialize(known, f"{name}-known")
-        return known, known.where("component <> hub_component")
+    hubs = shared.groupBy("bucket").agg(F.max(F.struct("degree", "node", *extra)).alias("x")).select(F.col("bucket").alias("at"), "x")
+    star = shared.alias("y").join(hubs, F.expr(f"y.bucket = at and x.node <> y.node and ({condition})"))
+    star = materialize(star.select(F.col("y.node").alias("node"), F.col("x.node").alias("hub"), F.col("x.degree").alias("rank")).distinct(), f"{name}-star")
+    pairs = materialize(_ordered(star.groupBy("node").agg(F.max_by("hub", F.struct("rank", "hub")).alias("hub")), "node", "hub"), f"{name}-pairs")
+    if prepare:
+        prepare(star.select("node").union(star.select("hub")).union(shared.where("mates > 2").select("node")).distinct())
+    label = connected_components(materialize(verify(pairs), f"{name}-links"))
 
+    few = shared.where(f"mates between 3 and {SMALL}")
+    every = few.alias("x").join(few.alias("y"), F.expr(f"x.bucket = y.bucket and x.node < y.node and ({condition})"))
     for last in (False, True):
-        known, other = outside(label)
+        large = shared.where(f"mates > {SMALL}").join(hubs.select(F.col("at").alias("bucket"), F.col("x.node").alias("hub")), "bucket")
+        known = materialize(_component(_component(large, label, "node"), label, "hub"), f"{name}-known")
+        other = known.where("node_component <> hub_component")
         if last:
-            ordered = "(x.node < y.node or y.component = y.hub_component)"
-            near = other.alias("x").join(known.alias("y"), F.expr(f"x.bucket = y.bucket and x.component <> y.component and {ordered} and ({condition})"))
+            side = F.ceil(F.col("mates") / GRID).cast("int")
+            own, lines = F.pmod(F.xxhash64("node"), side).cast("int"), F.explode(F.sequence(F.lit(0), side - 1))
+            left, right = other.withColumn("row", own).withColumn("col", lines), known.withColumn("col", own).withColumn("row", lines)
+            ordered = "(x.node < y.node or y.node_component = y.hub_component)"
+            near = left.alias("x").join(right.alias("y"), F.expr(f"x.bucket = y.bucket and x.row = y.row and x.col = y.col and x.node_component <> y.node_component and {ordered} and ({condition})"))
+            more = _ordered(near, "x.node", "y.node")
         else:
-            best = known.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(SLOTS)).alias("slot")).agg(F.max(F.struct("degree", "node", "component", *extra)).alias("y")).select(F.col("bucket").alias("at"), "y")
-            near = other.alias("x").join(best, F.expr(f"x.bucket = at and x.component <> y.component and ({condition})"))
-        more = materialize(_pairs(near).distinct().join(pairs, ["a", "b"], "left_anti"), f"{name}-more")
+            best = known.groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(SLOTS)).alias("slot")).agg(F.max(F.struct("degree", "node", "node_component", *extra)).alias("y")).select(F.col("bucket").alias("at"), "y")
+            near = other.alias("x").join(best, F.expr(f"x.bucket = at and x.node_component <> y.node_component and ({condition})"))
+            rest = _ordered(star, "node", "hub").union(_ordered(every, "x.node", "y.node"))
+            rest = _component(_component(rest, label, "a"), label, "b").where("a_component <> b_component").select("a", "b")
+            more = _ordered(near, "x.node", "y.node").union(rest).distinct()
+        more = materialize(more.join(pairs, ["a", "b"], "left_anti"), f"{name}-more")
         if more.isEmpty():
             continue
-        found = materialize(verify(more), f"{name}-found")
-        pairs, links = pairs.union(more), links.union(found)
-        label = label if found.isEmpty() else connected_components(links)
+        pairs = pairs.union(more)
+        label = _merge(label, materialize(verify(more), f"{name}-found"), name)
     return label
 
 
-def _pairs(joined: DataFrame) -> DataFrame:
-    return joined.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+def _ordered(df: DataFrame, one: str, two: str) -> DataFrame:
+    """Distinct pairs (a, b) with a < b."""
+    return df.select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b")).distinct()
+
+
+def _component(df: DataFrame, label: DataFrame, node: str) -> DataFrame:
+    """df with the component of the column `node`; a node without links is its own."""
+    own = label.select(F.col("node").alias(node), F.col("component").alias(f"{node}_component"))
+    return df.join(own, node, "left").withColumn(f"{node}_component", F.coalesce(f"{node}_component", node))
+
+
+def _merge(label: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """label with more links: components that these join become one."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    every = label.unionByName(ends.join(label, "node", "left_anti").withColumn("component", F.col("node")))
+    joined = connected_components(_component(_component(links, label, "a"), label, "b").select(F.col("a_component").alias("a"), F.col("b_component").alias("b")))
+    up = joined.select(F.col("node").alias("component"), F.col("component").alias("top"))
+    return materialize(every.join(up, "component", "left").select("node", F.coalesce("top", "component").alias("component")), f"{name}-labels")

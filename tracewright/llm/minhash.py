@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import annotate, materialize, mix64, word_hashes
-from .components import bucket_links, connected_components
+from .components import bucket_components, connected_components
 
 _U = np.uint64
 _LEVEL_BITS, _POS_BITS = _U(40), _U(24)
@@ -155,7 +155,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ones = 0x1111111111111111
     differ = [f"bit_count(({x} | shiftrightunsigned({x}, 1) | shiftrightunsigned({x}, 2) | shiftrightunsigned({x}, 3)) & {ones}L)" for x in (f"(x.{c} ^ y.{c})" for c in parts)]
     near = f"100 * least(x.n, y.n) >= {similarity} * greatest(x.n, y.n) and {' + '.join(differ)} <= {MAX_DIFFERENT}"
-    label = bucket_links(members, facts, verify, near, "near")
+    label = bucket_components(members, facts, verify, near, "near")
     smallest = nodes.join(label, "node").groupBy("component").agg(F.min("first").alias("component_id"))
     named = label.join(smallest, "component").select("node", "component_id")
     alone = nodes.select("node", F.col("first").alias("own"))
