@@ -24,8 +24,8 @@ from .common import SPACES, annotate
 
 KINDS = ("email", "ip", "card", "phone")
 
-#: Documents that the field learns from: those with a digit or `@` and the smallest hash of their id, of at most so many code points.
-TRAIN_DOCS, TRAIN_POINTS = 1500, 20_000
+#: Documents that the field learns from: those with a digit or `@` and the smallest hash of their id, whole.
+TRAIN_DOCS = 1500
 
 #: Rounds of messages, and how much of a message is kept from the round before.
 ROUNDS, DAMPING = 10, 0.3
@@ -70,7 +70,7 @@ def luhn(digits: str) -> bool:
 def base_spans(text: str) -> list[Span]:
     """Spans of the patterns by kind, then start."""
     found = [(0, s, e) for s, e in emails(text)]
-    found += [(1, *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+    found += [(1, *m.span()) for m in _IP.finditer(text) if all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in m.group().split(".")))]
     for m in _CARD.finditer(text):
         digits = _NOT_DIGIT.sub("", m.group())
         if 13 <= len(digits) <= 19 and luhn(digits):
@@ -255,10 +255,10 @@ def spans_text(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in spans)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = TRAIN_DOCS, points: int = TRAIN_POINTS) -> dict:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = TRAIN_DOCS) -> dict:
     """Weights fitted on at most `limit` documents, the same for the same table."""
     one = docs.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    one = one.where("id is not null and text rlike '[0-9@]'").where(F.length("text") <= points).withColumn("h", F.xxhash64("id"))
+    one = one.where("id is not null and text rlike '[0-9@]'").withColumn("h", F.xxhash64("id"))
     edge = one.select("h").orderBy("h").limit(limit).agg(F.max("h")).first()[0]
     rows = one.where(F.col("h") <= edge).limit(2 * limit).collect() if edge is not None else []
     return fit([r.text for r in sorted(rows, key=lambda r: (r.h, r.text))[:limit]])
