@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import regex
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,10 +14,10 @@ from .common import annotate
 #: Hash buckets of n-grams, as a power of two, and the n-gram lengths.
 BUCKET_BITS, LENGTHS = 14, (1, 2, 3)
 
-#: Labelled documents of each language that are learned from: those with the smallest hash of their id.
+#: Labelled documents of each language that are learned from, about: those with a hash of their id below a bound that so many are expected to keep.
 TRAIN_PER_LANGUAGE = 1500
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _U = np.uint32
 
 
@@ -39,18 +38,19 @@ def ngram_buckets(text: str) -> np.ndarray:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = TRAIN_PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """(languages, log-probabilities of buckets x languages) from the rows of docs with a
-    language and text, at most per_language of each language."""
+    language and text, about per_language of each language (all, if it has no more). Rows
+    are picked by a hash of the id, so repeated rows are picked alike."""
     size = 1 << BUCKET_BITS
     one = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).where("lang is not null and text is not null")
-    one = one.withColumn("h", F.xxhash64(F.col("id").cast("string")))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    limits = {r.lang: r.h for r in one.select("lang", "h").withColumn("rank", rank).where(F.col("rank") <= per_language).groupBy("lang").agg(F.max("h").alias("h")).collect()}
+    one = one.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit(""))), 11))
+    # a row for each language
+    limits = {r.lang: int(min(1, per_language / r.n) * 2**53) for r in one.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(limits)
     if not langs:
         return [], np.zeros((size, 0), np.float32)
     pick = F.lit(False)
     for lang in langs:
-        pick = pick | ((F.col("lang") == lang) & (F.col("h") <= limits[lang]))
+        pick = pick | ((F.col("lang") == lang) & (F.col("h") < limits[lang]))
     index = {lang: i for i, lang in enumerate(langs)}
 
     def count(batches):
