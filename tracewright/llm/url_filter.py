@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Sampled keys for each key range; the sample has at most this many times the ranges.
+#: Sampled keys for each key range: about this many times the ranges are sampled.
 SAMPLES_PER_RANGE = 40
 
 
@@ -52,7 +52,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     urls = pages.select(F.col(f"`{id_col}`").alias("id"), url_host(url).alias("host"), url_path(url).alias("path"))
     # the id at the end lets ranges cut through many rows of one url
     urls = urls.withColumn("key", F.concat_ws("\x00", host_key(F.col("host")), "path", F.coalesce(F.col("id").cast("string"), F.lit(""))))
-    found = urls.select("key").orderBy(F.xxhash64("key"), "key").limit(SAMPLES_PER_RANGE * ranges).collect()
+    # keys with a small hash: each task sends its share of the sample, not a sample of its own
+    part = min(1.0, SAMPLES_PER_RANGE * ranges / max(1, urls.count()))
+    found = urls.select("key").where(F.shiftrightunsigned(F.xxhash64("key"), 11) < int(part * 2**53)).distinct().collect()
     keys = sorted(r.key for r in found)
     cuts = np.array(sorted({keys[i * len(keys) // ranges] for i in range(1, ranges)}) if len(keys) > ranges else [], dtype=object)
 
