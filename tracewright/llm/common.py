@@ -103,7 +103,6 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[ord(c) for c in SPACES]] = True
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BYTE[_SPACE] = 0
-_POWER = np.uint64(0x2545F4914F6CDD1D)
 
 
 def word_hashes(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -120,5 +119,6 @@ def word_hashes(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     place -= np.repeat(starts, np.diff(np.append(starts, len(buf)))) if starts[0] == 0 else np.concatenate((place[: starts[0]], np.repeat(starts, np.diff(np.append(starts, len(buf))))))
     longest = int(place.max()) + 1
     with np.errstate(over="ignore"):
-        powers = np.cumprod(np.full(longest, _POWER, np.uint64))
-        return mix64(np.add.reduceat(_BYTE[buf] * powers[place], starts)), bounds
+        # odd factors without a pattern: powers of one would let words with a pattern collide
+        factors = mix64(np.arange(1, longest + 1, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25)) | np.uint64(1)
+        return mix64(np.add.reduceat(_BYTE[buf] * factors[place], starts)), bounds

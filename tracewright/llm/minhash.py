@@ -9,6 +9,7 @@ walk of a document stops there: about one step a shingle for long documents.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -24,9 +25,12 @@ _LEVEL_BITS, _POS_BITS = _U(40), _U(24)
 #: Components of a signature. Bands take the first of them; the sketch is the low four bits of all.
 SIZE = 256
 
-#: Pairs with more different sketch components are not looked at. At similarity 0.8 the number
-#: is binomial with mean 48 and deviation 6.2; more than this differ with odds below 1e-5.
-MAX_DIFFERENT = 76
+
+def max_different(similarity: int) -> int:
+    """Pairs with more different sketch components are not looked at. At the least similarity
+    their number is binomial; more than 4.5 deviations above the mean differ with odds below 1e-5."""
+    p = (1 - similarity / 100) * 15 / 16
+    return math.ceil(SIZE * p + 4.5 * math.sqrt(SIZE * p * (1 - p)))
 
 
 #: Texts whose signatures are made together; bounds the table of permutations.
@@ -154,7 +158,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # a component differs where any of its four bits does
     ones = 0x1111111111111111
     differ = [f"bit_count(({x} | shiftrightunsigned({x}, 1) | shiftrightunsigned({x}, 2) | shiftrightunsigned({x}, 3)) & {ones}L)" for x in (f"(x.{c} ^ y.{c})" for c in parts)]
-    near = f"100 * least(x.n, y.n) >= {similarity} * greatest(x.n, y.n) and {' + '.join(differ)} <= {MAX_DIFFERENT}"
+    near = f"100 * least(x.n, y.n) >= {similarity} * greatest(x.n, y.n) and {' + '.join(differ)} <= {max_different(similarity)}"
     label = bucket_components(members, facts, verify, near, "near")
     smallest = nodes.join(label, "node").groupBy("component").agg(F.min("first").alias("component_id"))
     named = label.join(smallest, "component").select("node", "component_id")
