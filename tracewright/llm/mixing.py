@@ -41,7 +41,8 @@ def water_fill(sizes: list[int], weights: list[float], max_epochs: float = 3) ->
         for i in over:
             targets[i] = float(max_epochs * sizes[i])
         left -= sum(targets[i] for i in over)
-        open_ = [i for i in open_ if i not in set(over)]
+        full = set(over)
+        open_ = [i for i in open_ if i not in full]
     return targets
 
 
