@@ -223,9 +223,51 @@ def test_toxicity(spark, docs, none):
     assert {r.score for r in toxicity.score(docs.limit(3), None).collect()} == {0.0}
 
 
+@pytest.mark.parametrize("seed", range(1, 6))
+def test_toxicity_unseen_words(seed):
+    rng = random.Random(seed)
+    clean = [" ".join(rng.choices(WORDS, k=90)) for _ in range(120)]
+    rude = [c.replace(" ", f" nasty{rng.choice(WORDS)} ", 1) for c in clean[:40]]
+    model = toxicity.fit(clean[40:] + rude, [0] * 80 + [1] * 40, seed=seed)
+    score = toxicity.score_texts(model, ["word " * 300 + "nastyzzz " + "word " * 300, clean[0], clean[1]])
+    assert score[0] >= 0.5 and score[1] < 0.5 and score[2] < 0.5
+
+
+def test_toxicity_forward_in_plain_python():
+    texts = ["one two nasty three", "four five " * 30]
+    rng = np.random.default_rng(3)
+    batch = toxicity.Batch(texts)
+    p = toxicity.start(batch, np.array([1, 0]), rng)
+    x = batch.table(p)
+    dot = lambda v, m: [sum(float(a) * float(row[j]) for a, row in zip(v, m)) for j in range(len(m[0]))]
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    for n, got in enumerate(toxicity.forward(p, batch, batch.ids, x)):
+        words = [i for i in batch.ids[:, n] if i < len(x)]
+        states = [[] for _ in words]
+        for side, order in (("f", range(len(words))), ("b", range(len(words) - 1, -1, -1))):
+            h = [0.0] * toxicity.HIDDEN
+            for t in order:
+                g = [a + float(b) for a, b in zip(dot(x[words[t]], p["w" + side]), p["b" + side])]
+                u, k = dot(h, p["u" + side]), toxicity.HIDDEN
+                z, r = [sig(g[i] + u[i]) for i in range(k)], [sig(g[k + i] + u[k + i]) for i in range(k)]
+                new = [np.tanh(g[2 * k + i] + r[i] * u[2 * k + i]) for i in range(k)]
+                h = [new[i] + z[i] * (h[i] - new[i]) for i in range(k)]
+                states[t] = states[t] + h
+        weight = [np.exp(sum(np.tanh(a + float(b)) * float(v) for a, b, v in zip(dot(s, p["wa"]), p["ba"], p["va"]))) for s in states]
+        pooled = [sum(w * s[i] for w, s in zip(weight, states)) / sum(weight) for i in range(2 * toxicity.HIDDEN)]
+        assert got == pytest.approx(sum(a * float(b) for a, b in zip(pooled, p["wo"])) + float(p["bo"]), abs=1e-4)
+
+
+def test_letters_and_long_numbers(spark):
+    docs = spark.createDataFrame([(1, "½ ² ①"), (2, "Ⅷ 5"), (3, "é")], "doc_id long, text string")
+    model = (["fr"], np.zeros((1 << language_id.BUCKET_BITS, 1), np.float32))
+    assert [r.lang_pred for r in language_id.identify(docs, model).orderBy("doc_id").collect()] == ["und", "und", "fr"]
+    assert pii.base_spans("0" * 5000 + ".1.1.1 " + "9" * 5000 + ".1.1.1") == [(1, 0, 5006)]
+
+
 def test_windows_cover_all_words():
-    text, first, size = toxicity.windows(np.array([0, 1, 64, 65, 112, 113, 500]))
-    for i, n in enumerate([0, 1, 64, 65, 112, 113, 500]):
+    text, first, size = toxicity.windows(np.array([0, 1, 64, 65, 96, 97, 112, 500]))
+    for i, n in enumerate([0, 1, 64, 65, 96, 97, 112, 500]):
         seen = {w for f, s in zip(first[text == i], size[text == i]) for w in range(f, f + s)}
         assert seen == set(range(n))
 

@@ -12,17 +12,21 @@ import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import annotate
 
 #: Words in a window and between the starts of windows.
-LENGTH, STRIDE = 64, 48
+LENGTH, STRIDE = 64, 32
 
-#: Labelled texts that are learned from: so many of each label with the smallest hash of their id, of at most so many code points.
-TRAIN_PER_LABEL, TRAIN_POINTS = 1000, 10_000
+#: Labelled texts that are learned from, whole: so many of each label with the smallest hash of their id.
+TRAIN_PER_LABEL = 1000
+
+#: Share of the distinct words of a step whose own embedding is left out, so that character n-grams learn to carry words that were never seen;
+#: and share of those without any input, as words of unseen n-grams are.
+WORD_DROPOUT, BLANK = 0.5, 0.35
 
 WORD_BITS, GRAM_BITS, GRAMS = 14, 16, (3, 4, 5)
 WORD_DIM, GRAM_DIM, HIDDEN, ATTEND = 4, 8, 8, 8
@@ -145,8 +149,8 @@ def forward(p: dict, batch: Batch, ids: np.ndarray, x: np.ndarray, trace: list |
     return pooled @ p["wo"] + p["bo"]
 
 
-def backward(p: dict, batch: Batch, used: np.ndarray, ids: np.ndarray, x: np.ndarray, trace: list, dlogit: np.ndarray) -> dict:
-    """Gradients of sum(dlogit * logit). ids and x are in terms of the words `used`."""
+def backward(p: dict, batch: Batch, used: np.ndarray, ids: np.ndarray, x: np.ndarray, trace: list, dlogit: np.ndarray, kept: np.ndarray | None = None) -> dict:
+    """Gradients of sum(dlogit * logit). ids and x are in terms of the words `used`; only inputs that are `kept` get a gradient."""
     forth, back, states, hidden, s, pooled = trace
     g = {k: np.zeros_like(v) for k, v in p.items()}
     g["wo"], g["bo"] = pooled.T @ dlogit, np.array(dlogit.sum(), np.float32)
@@ -176,6 +180,8 @@ def backward(p: dict, batch: Batch, used: np.ndarray, ids: np.ndarray, x: np.nda
             dh = dh * z + da @ u.T
     word, gram, begin = batch.features
     at, n = _ranges(begin, used)
+    if kept is not None:
+        dx[:-1] *= kept
     np.add.at(g["word"], word[used], dx[:-1, :WORD_DIM])
     np.add.at(g["gram"], gram[at], np.repeat(dx[:-1, WORD_DIM:] / n[:, None], n, axis=0))
     return g
@@ -239,10 +245,13 @@ def fit(texts: list[str], labels: list[int], steps: int = 100, rate: float = 0.0
                 used = used[:-1]
             ids = ids.reshape(LENGTH, len(pick))
             x, trace = batch.table(p, used), []
+            chance = rng.random(len(x))
+            kept = np.repeat(np.stack((chance >= WORD_DROPOUT, chance >= BLANK), axis=1), (WORD_DIM, GRAM_DIM), axis=1)
+            x *= kept
             logit = forward(p, batch, ids, x, trace)
             y = label[batch.text[pick]]
             d = ((_sigmoid(logit) - y) / len(pick)).astype(np.float32)
-            g = backward(p, batch, used, ids, x, trace, d)
+            g = backward(p, batch, used, ids, x, trace, d, kept)
             n_steps += 1
             for k in p:
                 m[k] += 0.1 * (g[k] - m[k])
@@ -262,17 +271,16 @@ def score_texts(p: dict, texts: list) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = TRAIN_PER_LABEL, points: int = TRAIN_POINTS) -> dict | None:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = TRAIN_PER_LABEL) -> dict | None:
     """A network fitted on at most per_label texts of each label, or None without texts
     of both. Rows with a null id, text or label, or another label than 0 and 1, are not
-    learned from, nor texts of more than `points` code points (they are scored all the same)."""
+    learned from; of several texts with one id the first in code point order is."""
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label")).where("id is not null and label in (0, 1)")
-    short = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null and text is not null")
-    short = short.where(F.length("text") <= points)
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("h", "id"))
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("id is not null and text is not null")
+    known = known.distinct().withColumn("h", F.xxhash64(F.col("id").cast("string")))
     # twice as many as are used, as some may lack a text
-    pick = known.withColumn("h", F.xxhash64(F.col("id").cast("string"))).withColumn("rank", rank).where(F.col("rank") <= 2 * per_label).drop("rank")
-    joined = short.join(F.broadcast(pick), "id").select("id", "h", "label", "text")
+    no, yes = (known.where(F.col("label") == value).orderBy("h", "id").limit(2 * per_label) for value in (0, 1))
+    joined = texts.join(F.broadcast(no.union(yes)), "id").groupBy("id", "h", "label").agg(F.min("text").alias("text"))
     rows = sorted(joined.collect(), key=lambda r: (r.h, r.id, r.text))
     rows = [r for value in (0, 1) for r in [r for r in rows if r.label == value][:per_label]]
     if len({r.label for r in rows}) < 2:
