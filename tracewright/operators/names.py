@@ -73,11 +73,27 @@ def longest_match(uris: DataFrame, namespaces: DataFrame, uri_col: str = "uri")
 
 
 def _match(uris: DataFrame, namespaces: DataFrame, uri_col: str, pick) -> DataFrame:
-    """Joins on the lengths that namespaces have: a uri is cut to each, so it is an equi-join."""
-    named = namespaces.select("seq", F.col("prefix").alias("ns_prefix"), F.col("uri").alias("ns_uri")).where("ns_uri <> ''")
+    """Joins on the lengths that namespaces have: a uri is cut to each, so it is an equi-join.
+    Uris with a doc_id are matched with the namespaces of their document."""
+    doc = ["doc_id"] if "doc_id" in uris.columns else []
+    named = namespaces.select(*doc, "seq", F.col("prefix").alias("ns_prefix"), F.col("uri").alias("ns_uri")).where("ns_uri <> ''")
     lengths = [r[0] for r in named.select(F.length("ns_uri")).distinct().orderBy(F.length("ns_uri")).collect()]  # a few numbers
-    one = uris.select(F.col(uri_col).alias("uri")).distinct()
-    cut = one.select("uri", F.explode(F.array(*[F.substring("uri", 1, n) for n in lengths]) if lengths else F.array().cast("array<string>")).alias("ns_uri")).where("uri is not null").distinct()
-    best = cut.join(named, "ns_uri").groupBy("uri").agg(pick(F.struct("ns_prefix", "ns_uri")).alias("n"))
-    out = best.select(F.col("uri").alias(uri_col), F.col("n.ns_prefix").alias("ns_prefix"), F.substr("uri", F.length("n.ns_uri") + 1).alias("local"))
-    return uris.join(out, uri_col, "left")
+    one = uris.select(*doc, F.col(uri_col).alias("uri")).distinct()
+    cut = one.select(*doc, "uri", F.explode(F.array(*[F.substring("uri", 1, n) for n in lengths]) if lengths else F.array().cast("array<string>")).alias("ns_uri")).where("uri is not null").distinct()
+    best = cut.join(named, [*doc, "ns_uri"]).groupBy(*doc, "uri").agg(pick(F.struct("ns_prefix", "ns_uri")).alias("n"))
+    out = best.select(*doc, F.col("uri").alias(uri_col), F.col("n.ns_prefix").alias("ns_prefix"), F.substr("uri", F.length("n.ns_uri") + 1).alias("local"))
+    return uris.join(out, [*doc, uri_col], "left")
+
+
+def scope_labels(scopes: DataFrame, namespaces: DataFrame | None) -> DataFrame:
+    """(doc_id, scope, ...) with the bundle's name as its document writes it, as `label`: by
+    the longest of the document's own namespaces, or the uri where none fits."""
+    if namespaces is None:
+        return scopes.withColumn("label", F.col("scope"))
+    # a document has few namespaces of its own, so the array is small
+    fact = F.struct(F.length("uri").alias("n"), (-F.col("seq")).alias("order"), "prefix", "uri")
+    own = namespaces.where("scope = '' and uri <> ''").groupBy("doc_id").agg(F.collect_list(fact).alias("__own"))
+    best = F.array_max(F.filter("__own", lambda n: F.startswith(F.col("scope"), n["uri"])))
+    local = F.substr("scope", best["n"] + 1)
+    name = F.when(F.coalesce(local, F.lit("")) == "", F.col("scope")).when(best["prefix"] == "", local).otherwise(F.concat_ws(":", best["prefix"], local))
+    return scopes.join(own, "doc_id", "left").withColumn("label", name).drop("__own")

@@ -42,10 +42,10 @@ def record_key(records: DataFrame, with_id: bool = True) -> Column:
 
 
 def missing_from(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Records of left for which the same scope of right has no equal one."""
+    """Records of left for which the same scope of the same document of right has no equal one."""
     keyed = left.withColumn("__k", record_key(left))
-    other = right.select("scope", record_key(right).alias("__k")).distinct()
-    return keyed.join(other, ["scope", "__k"], "left_anti").select(*COLUMNS)
+    other = right.select("doc_id", "scope", record_key(right).alias("__k")).distinct()
+    return keyed.join(other, ["doc_id", "scope", "__k"], "left_anti").select(*COLUMNS)
 
 
 def differences(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -110,37 +110,55 @@ def _qualified_quads(records: DataFrame) -> DataFrame:
     return _exploded(one, F.concat(cells, _attribute_quads(node)))
 
 
+def iri_text(uri: Column) -> Column:
+    """A uri with what an IRI may not hold written as an escape."""
+    escaped = uri
+    for c in '\\ <>"{}|^`':
+        escaped = F.replace(escaped, F.lit(c), F.lit(f"\\u{ord(c):04X}"))
+    return F.when(F.rlike(uri, F.lit(r'[\\ <>"{}|^`]')), escaped).otherwise(uri)
+
+
+def unescaped(text: Column) -> Column:
+    """Text with its escapes decoded in one pass, as those of JSON, which N-Quads' are but for the eight-digit one."""
+    short = F.regexp_replace(text, r"(?<!\\)((?:\\\\)*)\\U0000([0-9A-Fa-f]{4})", r"$1\\u$2")
+    options = {"allowBackslashEscapingAnyCharacter": "true", "allowUnquotedControlChars": "true"}
+    return F.when(F.contains(text, F.lit("\\")), F.from_json(F.concat(F.lit('["'), short, F.lit('"]')), "array<string>", options)[0]).otherwise(text)
+
+
 def term_text(t: Column) -> Column:
     """A term as N-Quads writes it."""
     escaped = t["lex"]
     for raw, shown in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         escaped = F.replace(escaped, F.lit(raw), F.lit(shown))
     tail = F.when(t["lang"].isNotNull(), F.concat(F.lit("@"), t["lang"])).when(t["datatype"].isNotNull() & (t["datatype"] != XSD + "string"), F.concat(F.lit("^^<"), t["datatype"], F.lit(">"))).otherwise("")
-    return F.when(t["kind"] == "iri", F.concat(F.lit("<"), t["lex"], F.lit(">"))).when(t["kind"] == "blank", F.concat(F.lit("_:"), t["lex"])).otherwise(F.concat(F.lit('"'), escaped, F.lit('"'), tail))
+    return F.when(t["kind"] == "iri", F.concat(F.lit("<"), iri_text(t["lex"]), F.lit(">"))).when(t["kind"] == "blank", F.concat(F.lit("_:"), t["lex"])).otherwise(F.concat(F.lit('"'), escaped, F.lit('"'), tail))
 
 
 def nquads(quad_rows: DataFrame) -> DataFrame:
     """(doc_id, line): N-Quads, a line for each quad; splits at any size."""
-    graph = F.when(F.col("graph").isNull(), "").otherwise(F.concat(F.lit(" <"), "graph", F.lit(">")))
-    return quad_rows.select("doc_id", F.concat(term_text(F.col("s")), F.lit(" <"), "p", F.lit("> "), term_text(F.col("o")), graph, F.lit(" .")).alias("line"))
+    graph = F.when(F.col("graph").isNull(), "").otherwise(F.concat(F.lit(" <"), iri_text(F.col("graph")), F.lit(">")))
+    return quad_rows.select("doc_id", F.concat(term_text(F.col("s")), F.lit(" <"), iri_text(F.col("p")), F.lit("> "), term_text(F.col("o")), graph, F.lit(" .")).alias("line"))
+
+
+_TERM_FORM = r"(?:<[^>]*>|_:[^\s]+|\"[^\"\\]*+(?:\\.[^\"\\]*+)*+\"(?:\^\^<[^>]*>|@[A-Za-z0-9-]+)?)"
+
+#: A line of N-Quads or N-Triples.
+NQUAD = rf"^\s*({_TERM_FORM})\s+<([^>]*)>\s+({_TERM_FORM})(?:\s+<([^>]*)>)?\s*\.\s*$"
 
 
 def read_nquads(lines: DataFrame) -> DataFrame:
     """Quads of N-Quads or N-Triples lines (doc_id, line), by regular expressions; other lines are left out."""
-    term = r"(?:<[^>]*>|_:[^\s]+|\"(?:[^\"\\]|\\.)*\"(?:\^\^<[^>]*>|@[A-Za-z0-9-]+)?)"
-    form = rf"^\s*({term})\s+<([^>]*)>\s+({term})(?:\s+<([^>]*)>)?\s*\.\s*$"
-    part = [F.regexp_extract("line", form, i) for i in range(5)]
-    good = lines.where(F.col("line").rlike(form))
-    return good.select("doc_id", F.nullif(part[4], F.lit("")).alias("graph"), _term(part[1]).alias("s"), part[2].alias("p"), _term(part[3]).alias("o"))
+    part = [F.regexp_extract("line", NQUAD, i) for i in range(5)]
+    good = lines.where(F.col("line").rlike(NQUAD))
+    return good.select("doc_id", F.nullif(unescaped(part[4]), F.lit("")).alias("graph"), _term(part[1]).alias("s"), unescaped(part[2]).alias("p"), _term(part[3]).alias("o"))
 
 
 def _term(text: Column) -> Column:
-    body = F.regexp_extract(text, r'^"((?:[^"\\]|\\.)*)"', 1)
-    for shown, raw in (("\\\\", "\x00"), ('\\"', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\x00", "\\")):
-        body = F.replace(body, F.lit(shown), F.lit(raw))
+    body = F.regexp_extract(text, r'^"([^"\\]*+(?:\\.[^"\\]*+)*+)"', 1)
+    body = unescaped(body)
     datatype, lang = F.nullif(F.regexp_extract(text, r"\^\^<([^>]*)>$", 1), F.lit("")), F.nullif(F.regexp_extract(text, r'"@([A-Za-z0-9-]+)$', 1), F.lit(""))
     lit = F.struct(F.lit("literal").alias("kind"), body.alias("lex"), F.when(lang.isNull(), F.coalesce(datatype, F.lit(XSD + "string"))).alias("datatype"), lang.alias("lang"))
-    return F.when(F.startswith(text, F.lit("<")), iri(F.regexp_extract(text, r"^<([^>]*)>", 1))).when(F.startswith(text, F.lit("_:")), blank(F.substr(text, F.lit(3)))).otherwise(lit).cast(TERM)
+    return F.when(F.startswith(text, F.lit("<")), iri(unescaped(F.regexp_extract(text, r"^<([^>]*)>", 1)))).when(F.startswith(text, F.lit("_:")), blank(F.substr(text, F.lit(3)))).otherwise(lit).cast(TERM)
 
 
 def from_quads(quad_rows: DataFrame, namespaces: DataFrame | None = None) -> DataFrame:

@@ -58,9 +58,9 @@ def quads_of(documents: DataFrame, text_col: str = "text") -> DataFrame:
                 flat = [{"doc_id": doc_id, "graph": r["graph"], "p": r["p"]} | {f"{c}_{x}": r[c][x] for c in "so" for x in _PARTS} for r in rows]
                 yield pd.DataFrame(flat, columns=_FLAT_QUADS, dtype=object)
 
-    lines = r"^\s*(<|_:)[^\n]*\s\.\s*(\n|$)"
-    flat = documents.where(F.col(text_col).rlike(lines) & ~F.col(text_col).rlike(r"(?im)^\s*@?(prefix|base)\b|[;{\[]\s*$"))
-    # N-Quads splits by lines, without Python
+    # N-Quads splits by lines, without Python, if every line is one
+    each = F.forall(F.split(text_col, "\n"), lambda l: l.rlike(r"^\s*(#.*)?$") | l.rlike(triples.NQUAD))
+    flat = documents.where(each & ~F.contains(F.col(text_col), F.lit("\\U")))
     split = triples.read_nquads(flat.select("doc_id", F.explode(F.split(text_col, "\n")).alias("line")))
     rest = documents.join(flat.select("doc_id"), "doc_id", "left_anti")
     parsed = rest.select("doc_id", text_col).mapInPandas(run, ", ".join(f"{c} string" for c in _FLAT_QUADS))
@@ -106,6 +106,13 @@ def from_content(documents: DataFrame, format: str | None = None, text_col: str
 
 def problems(documents: DataFrame, format: str | None = None, text_col: str = "text") -> DataFrame:
     """(doc_id, error) of texts that the format's parser refuses, or names that nothing explains."""
+    if format and format.lower() == "rdf":
+
+        def check(text: str) -> Iterator[dict]:
+            list(terms(text))
+            return iter(())
+
+        return statements.errors(statements.flatten_documents(documents, check, text_col))
     flat = statements.flatten_documents(documents, PARSERS[format.lower()] if format else _any, text_col)
     return statements.errors(flat).unionByName(statements.unresolved(flat).select("doc_id", F.concat(F.lit("unknown name "), "text").alias("error")))
 

@@ -13,6 +13,7 @@ from ..functions import values as V
 from ..functions.catalog import KEYWORD, KINDS, PROV, SUBTYPES, XSD, argument_names, time_names
 from ..operators import records as R
 from ..operators import render, triples
+from ..operators.names import scope_labels
 from ..operators.select import sorted_attributes
 from ..operators.setops import record_key
 from .read import UnknownFormat
@@ -80,7 +81,7 @@ def to_json(records: DataFrame, namespaces: DataFrame | None = None) -> DataFram
         heads = _joined(named, ["doc_id", "scope"], F.col("seq"), F.col("entry"), "entries").select("doc_id", "scope", F.lit(-1).cast("long").alias("seq"), F.concat(F.lit('"prefix": {'), "entries", F.lit("}")).alias("part"))
         words = words.unionByName(heads)
     scopes = _joined(words, ["doc_id", "scope"], F.col("seq"), F.col("part"), "body")
-    inner = scopes.where("scope <> ''").withColumn("part", F.concat(quoted(F.col("scope")), F.lit(": {"), "body", F.lit("}")))
+    inner = scope_labels(scopes.where("scope <> ''"), namespaces).withColumn("part", F.concat(quoted(F.col("label")), F.lit(": {"), "body", F.lit("}")))
     bundles = _joined(inner, ["doc_id"], F.col("scope"), F.col("part"), "parts").select("doc_id", F.concat(F.lit('"bundle": {'), "parts", F.lit("}")).alias("bundles"))
     own = scopes.where("scope = ''").select("doc_id", "body")
     both = own.join(bundles, "doc_id", "full")
@@ -201,7 +202,7 @@ def to_xml(records: DataFrame, namespaces: DataFrame | None = None) -> DataFrame
         declared = F.concat(F.when(F.col("prefix") == "", F.lit(' xmlns="')).otherwise(F.concat(F.lit(" xmlns:"), "prefix", F.lit('="'))), escape_xml(F.col("uri")), F.lit('"'))
         ns = _joined_plain(namespaces.where("prefix not in ('prov', 'xsd', 'xsi')").withColumn("entry", declared), ["doc_id", "scope"], F.col("seq"), F.col("entry"), "ns")
         scopes = scopes.join(ns, ["doc_id", "scope"], "left").fillna("", ["ns"])
-    inner = scopes.where("scope <> ''").select("doc_id", "scope", F.concat(F.lit('<prov:bundleContent prov:id="'), escape_xml(F.col("scope")), F.lit('"'), "ns", F.lit(">"), "body", F.lit("</prov:bundleContent>")).alias("t"))
+    inner = scope_labels(scopes.where("scope <> ''"), namespaces).select("doc_id", "scope", F.concat(F.lit('<prov:bundleContent prov:id="'), escape_xml(F.col("label")), F.lit('"'), "ns", F.lit(">"), "body", F.lit("</prov:bundleContent>")).alias("t"))
     bundles = _joined_plain(inner, ["doc_id"], F.col("scope"), F.col("t"), "bundles")
     own = scopes.where("scope = ''").select("doc_id", "body", "ns").join(bundles, "doc_id", "full").fillna("", ["body", "ns", "bundles"])
     head = f'<prov:document xmlns:prov="{PROV}" xmlns:xsd="{XSD}" xmlns:xsi="http://www.w3.org/2001/XMLSchema-instance"'
