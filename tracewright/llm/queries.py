@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, language_id, line_dedup, minhash, mixing, pii, quality, toxicity, url_filter
+from . import bpe, centroids, exact_dedup, importance, language_id, line_dedup, minhash, mixing, pii, quality, sql, substrings, toxicity, url_filter
 from .common import held_out
 
 #: The rules of op1: verdict, host, path.
@@ -75,8 +75,25 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assigned, centres = centroids.cluster_vectors(table(spark, sf_dir, "embeddings"))
+    # a row for each of the 40 centroids
+    digest = centres.select("cluster", "cluster_inertia", "inertia", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256).alias("centroid_sha256"))
+    return assigned.join(F.broadcast(digest), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.dedup_substrings(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_url_filter, op2_minhash, op3_exact_dedup, op4_language_id, op5_bpe, op6_line_dedup, op7_pii, op8_quality, op9_toxicity, op10_mixing)
+    every = (op1_url_filter, op2_minhash, op3_exact_dedup, op4_language_id, op5_bpe, op6_line_dedup, op7_pii, op8_quality, op9_toxicity, op10_mixing, op11_centroids, op12_substring_dedup, op13_importance)
     return {f.__name__: f for f in every}
 
 
@@ -109,4 +126,4 @@ FROM d JOIN g ON d.body = g.body
 
 def oracle_sql() -> dict[str, str]:
     """Where SQL expresses the whole result; the others are tested against brute force."""
-    return {"op1_url_filter": _OP1, "op3_exact_dedup": _OP3}
+    return {"op1_url_filter": _OP1, "op3_exact_dedup": _OP3, "op11_centroids": sql.OP11, "op12_substring_dedup": sql.OP12, "op13_importance": sql.OP13}
