@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import values as V
 from ..functions.catalog import ELEMENTS, KEYWORD, KINDS, TIMES, argument_names, time_names
 from . import records as R
+from .numbering import number_rows
 
 
 def record_text(records: DataFrame) -> Column:
@@ -49,10 +50,8 @@ def document_text(records: DataFrame, namespaces: DataFrame | None = None) -> Da
 def anonymous_ids(records: DataFrame, key: Column) -> DataFrame:
     """(doc_id, scope, seq, anon): `_:idN` for records without an identifier; equal records
     of a document share one. N follows the first occurrence."""
-    from pyspark.sql import Window
-
     one = records.where("id is null").select("doc_id", "scope", "seq", key.alias("k"))
     firsts = one.groupBy("doc_id", "k").agg(F.min(F.struct("scope", "seq")).alias("first"))
-    # one row for each distinct anonymous record is numbered
-    numbered = firsts.withColumn("anon", F.concat(F.lit("_:id"), F.row_number().over(Window.partitionBy("doc_id").orderBy("first")).cast("string")))
+    # one row for each distinct anonymous record is numbered, a document's in as many tasks as it needs
+    numbered = number_rows(firsts, ["first"], "n", within=["doc_id"]).select("doc_id", "k", F.concat(F.lit("_:id"), F.col("n").cast("string")).alias("anon"))
     return one.join(numbered, ["doc_id", "k"]).select("doc_id", "scope", "seq", "anon")

@@ -118,9 +118,19 @@ def iri_text(uri: Column) -> Column:
     return F.when(F.rlike(uri, F.lit(r'[\\ <>"{}|^`]')), escaped).otherwise(uri)
 
 
+def _long_escapes(part: Column) -> Column:
+    """Eight-digit escapes of a text without escaped backslashes: short ones up to U+FFFF, characters beyond."""
+    short = F.regexp_replace(part, r"\\U0000([0-9A-Fa-f]{4})", r"\\u$1")
+    form = r"\\U(00(?:0[1-9A-Fa-f]|10)[0-9A-Fa-f]{4})"
+    codes = F.regexp_extract_all(short, F.lit(form), F.lit(1))
+    char = lambda h: F.decode(F.unhex(h), "UTF-32")
+    return V.let(codes, lambda c: F.array_join(F.transform(F.split(short, form, -1), lambda t, i: F.concat(t, F.coalesce(char(F.get(c, i)), F.lit("")))), ""))
+
+
 def unescaped(text: Column) -> Column:
     """Text with its escapes decoded in one pass, as those of JSON, which N-Quads' are but for the eight-digit one."""
-    short = F.regexp_replace(text, r"(?<!\\)((?:\\\\)*)\\U0000([0-9A-Fa-f]{4})", r"$1\\u$2")
+    parts = F.transform(F.split(text, r"\\\\", -1), _long_escapes)
+    short = F.when(F.contains(text, F.lit("\\U")), F.array_join(parts, "\\\\")).otherwise(text)
     options = {"allowBackslashEscapingAnyCharacter": "true", "allowUnquotedControlChars": "true"}
     return F.when(F.contains(text, F.lit("\\")), F.from_json(F.concat(F.lit('["'), short, F.lit('"]')), "array<string>", options)[0]).otherwise(text)
 
@@ -161,48 +171,112 @@ def _term(text: Column) -> Column:
     return F.when(F.startswith(text, F.lit("<")), iri(unescaped(F.regexp_extract(text, r"^<([^>]*)>", 1)))).when(F.startswith(text, F.lit("_:")), blank(F.substr(text, F.lit(3)))).otherwise(lit).cast(TERM)
 
 
-def from_quads(quad_rows: DataFrame, namespaces: DataFrame | None = None) -> DataFrame:
-    """Records of quads, as joins and aggregates.
+def with_properties(quad_rows: DataFrame, table: DataFrame) -> DataFrame:
+    """quad_rows with other properties: table (p, becomes) names what a property is read, or
+    written, as. A property that it lacks stays; of several entries the smallest counts."""
+    one = table.groupBy(F.col("p").alias("__p")).agg(F.min("becomes").alias("__becomes"))
+    out = quad_rows.join(one, F.col("p") == F.col("__p"), "left").withColumn("p", F.coalesce("__becomes", "p"))
+    return out.select(*quad_rows.columns)
 
-    Types of the data model make elements; `qualified` properties make relations of the
-    node they lead to, whose formal properties are read by kind; binary properties make
-    anonymous relations unless a qualified node of the subject tells the same. A formal
-    property with several values gives a record for each combination. Identifiers get the
-    prefix of the longest namespace (prefix, uri, seq) that they start with, or none."""
-    q = quad_rows.select("doc_id", F.coalesce("graph", F.lit("")).alias("scope"), F.struct("s.kind", "s.lex").alias("s"), "p", "o")
+
+def relation_properties(table: DataFrame) -> DataFrame:
+    """A table for with_properties() of a table (p, kind): properties that tell a relation of a kind."""
+    words = F.create_map(*[F.lit(x) for k in RELATIONS for x in (k, PROV + KEYWORD[k])])
+    return table.select("p", words[F.col("kind")].alias("becomes")).where("becomes is not null")
+
+
+def _qualified(q: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, facts): the nodes that `qualified` properties lead to, by subject and kind, and
+    their statements with the column of the formal property that each is, if any."""
     link = F.regexp_extract("p", f"^{PROV}qualified([A-Z][A-Za-z]*)$", 1)
     subtype = F.create_map(*[F.lit(x) for s in ("Revision", "Quotation", "PrimarySource") for x in (s, "Derivation")])
     nodes = q.withColumn("link", link).where("link <> ''").select("doc_id", "scope", F.struct(F.col("o.kind").alias("kind"), F.col("o.lex").alias("lex")).alias("node"), F.coalesce(subtype[F.col("link")], F.col("link")).alias("rtype"), F.col("s.lex").alias("arg1"))
     nodes = nodes.where(F.col("rtype").isin(list(RELATIONS))).distinct()
-    slots = _slots()
-    facts = nodes.join(q.withColumnRenamed("s", "node"), ["doc_id", "scope", "node"]).withColumn("slot", slots[F.concat_ws(" ", "rtype", "p")])
+    return nodes, nodes.join(q.withColumnRenamed("s", "node"), ["doc_id", "scope", "node"]).withColumn("slot", _slots()[F.concat_ws(" ", "rtype", "p")])
+
+
+def _typed(q: DataFrame) -> DataFrame:
+    """(doc_id, scope, id, rtype) of elements."""
+    kinds = {PROV + k: k for k in ("Entity", "Activity", "Agent")} | {PROV + s: b for s, b in _ELEMENT_SUBTYPES.items()}
+    kind_of = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])
+    return q.where((F.col("p") == RDF + "type") & (F.col("s.kind") == "iri")).withColumn("rtype", kind_of[F.col("o.lex")]).where("rtype is not null").select("doc_id", "scope", F.col("s.lex").alias("id"), "rtype").distinct()
+
+
+# Kinds whose second name is read under another formal name, so that it has one value only.
+SINGLE_SECOND = ("Communication", "Delegation", "Start", "End", "Derivation")
+
+
+def conflicts(quad_rows: DataFrame) -> DataFrame:
+    """(doc_id, scope, id, rtype, formal, n): formal properties of which an identified node has n
+    values though it can have one: times, all names after the second, the second name of kinds
+    that read it under another name, and start and end of an activity. from_quads() makes no
+    record of these. Other repeated properties, and those of blank nodes, give a record for
+    each combination."""
+    q = quad_rows.select("doc_id", F.coalesce("graph", F.lit("")).alias("scope"), F.struct("s.kind", "s.lex").alias("s"), "p", "o")
+    _, facts = _qualified(q)
+    formal = F.create_map(*[F.lit(x) for k in RELATIONS for c, f in (*zip(R.ARGS, argument_names(k)), *zip(R.TIMES, time_names(k))) for x in (f"{k} {c}", f)])
+    single = (F.col("slot") != "arg2") | F.col("rtype").isin(*SINGLE_SECOND)
+    of_nodes = facts.where((F.col("node.kind") == "iri") & F.col("slot").isNotNull() & single).select("doc_id", "scope", F.col("node.lex").alias("id"), "rtype", formal[F.concat_ws(" ", "rtype", "slot")].alias("formal"), F.col("o.lex").alias("v"))
+    times = F.create_map(*[F.lit(x) for t, p in ACTIVITY_TIMES.items() for x in (PROV + p, t)])
+    told = _typed(q).where("rtype = 'Activity'").join(q.withColumn("id", F.col("s.lex")), ["doc_id", "scope", "id"])
+    of_activities = told.select("doc_id", "scope", "id", "rtype", times[F.col("p")].alias("formal"), F.col("o.lex").alias("v")).where("formal is not null")
+    every = of_nodes.unionByName(of_activities)
+    return every.groupBy("doc_id", "scope", "id", "rtype", "formal").agg(F.count_distinct("v").alias("n")).where("n > 1")
+
+
+def from_quads(quad_rows: DataFrame, namespaces: DataFrame | None = None, relation_map: DataFrame | None = None, predicate_map: DataFrame | None = None) -> DataFrame:
+    """Records of quads, as joins and aggregates.
+
+    Types of the data model make elements; `qualified` properties make relations of the
+    node they lead to, whose formal properties are read by kind. A binary property belongs to
+    the subject's qualified node of that kind that names the same thing; else to the last of
+    its nodes (by kind and name) that names none, which it completes; else it makes an
+    anonymous relation. A formal property with several values gives a record for each
+    combination, or none where conflicts() tells that it can't have them. Identifiers get the
+    prefix of the longest namespace (prefix, uri, seq) that they start with, or none.
+
+    relation_map (p, kind) and predicate_map (p, becomes) are tables of properties to be read
+    as relations of a kind, or as other properties."""
+    for table in (predicate_map, None if relation_map is None else relation_properties(relation_map)):
+        quad_rows = quad_rows if table is None else with_properties(quad_rows, table)
+    q = quad_rows.select("doc_id", F.coalesce("graph", F.lit("")).alias("scope"), F.struct("s.kind", "s.lex").alias("s"), "p", "o")
+    _, facts = _qualified(q)
     own_type = (F.col("p") == RDF + "type") & (F.col("o.lex") == F.concat(F.lit(PROV), F.col("rtype")))
     keys = ["doc_id", "scope", "node", "rtype", "arg1"]
     per = [F.collect_set(F.when(F.col("slot") == c, F.col("o.lex"))).alias(c) for c in (*R.ARGS[1:], *R.TIMES)]
     attrs = F.collect_list(F.when(F.col("slot").isNull() & ~own_type & ~F.startswith("p", F.lit(PROV + "qualified")), F.struct("p", "o"))).alias("attrs")
     found = facts.groupBy(*keys).agg(*per, attrs)
+    single = F.greatest(*[F.size(c) for c in (*R.ARGS[2:], *R.TIMES)], F.when(F.col("rtype").isin(*SINGLE_SECOND), F.size("arg2")).otherwise(0))
+    found = found.where((F.col("node.kind") != "iri") | (single < 2))
+    words = F.create_map(*[F.lit(x) for k in RELATIONS for x in (PROV + KEYWORD[k], k)])
+    plain = q.withColumn("rtype", words[F.col("p")]).where("rtype is not null and s.kind = 'iri'").select("doc_id", "scope", "rtype", F.col("s.lex").alias("arg1"), F.col("o.lex").alias("arg2"))
+    pairs = ["doc_id", "scope", "rtype", "arg1"]
+    told = found.select(*pairs, F.explode("arg2").alias("arg2")).distinct()
+    plain = plain.join(told, [*pairs, "arg2"], "left_anti")
+    # a row for each subject and kind, whatever the number of nodes
+    open_nodes = found.where(F.size("arg2") == 0).groupBy(*pairs).agg(F.max("node").alias("node"))
+    plain = plain.join(open_nodes, pairs, "left")
+    completing = plain.where("node is not null").groupBy(*keys).agg(F.collect_set("arg2").alias("named"))
+    plain = plain.where("node is null").drop("node")
+    found = found.join(completing, keys, "left").withColumn("arg2", F.array_union("arg2", F.coalesce("named", F.array().cast("array<string>"))))
     for c in (*R.ARGS[1:], *R.TIMES):
         found = found.withColumn(c, F.explode_outer(c))
     qualified = found.select("doc_id", "scope", "rtype", F.when(F.col("node.kind") == "iri", F.col("node.lex")).alias("id"), "arg1", *R.ARGS[1:], *R.TIMES, "attrs")
-    words = F.create_map(*[F.lit(x) for k in RELATIONS for x in (PROV + KEYWORD[k], k)])
-    plain = q.withColumn("rtype", words[F.col("p")]).where("rtype is not null and s.kind = 'iri'").select("doc_id", "scope", "rtype", F.col("s.lex").alias("arg1"), F.col("o.lex").alias("arg2"))
-    plain = plain.join(qualified.select("doc_id", "scope", "rtype", "arg1", "arg2").distinct(), ["doc_id", "scope", "rtype", "arg1", "arg2"], "left_anti")
     none = F.lit(None).cast("string")
     pair = "array<struct<p:string,o:" + TERM + ">>"
     about = q.where(F.col("p") == PROV + "asInBundle").select("doc_id", "scope", F.lit("Mention").alias("rtype"), F.col("s.lex").alias("arg1"), F.col("o.lex").alias("in_bundle"))
     plain = plain.join(about, ["doc_id", "scope", "rtype", "arg1"], "left")
     binary = plain.select("doc_id", "scope", "rtype", none.alias("id"), "arg1", "arg2", F.col("in_bundle").alias("arg3"), none.alias("arg4"), none.alias("arg5"), none.alias("t1"), none.alias("t2"), F.array().cast(pair).alias("attrs"))
-    kinds = {PROV + k: k for k in ("Entity", "Activity", "Agent")} | {PROV + s: b for s, b in _ELEMENT_SUBTYPES.items()}
-    kind_of = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])
-    typed = q.where((F.col("p") == RDF + "type") & (F.col("s.kind") == "iri")).withColumn("rtype", kind_of[F.col("o.lex")]).where("rtype is not null").select("doc_id", "scope", F.col("s.lex").alias("id"), "rtype").distinct()
+    typed = _typed(q)
     facts = typed.join(q.withColumn("id", F.col("s.lex")), ["doc_id", "scope", "id"])
     times = {p: c for c, p in zip(R.TIMES, (PROV + t for t in ACTIVITY_TIMES.values()))}
     of_time = F.create_map(*[F.lit(x) for kv in times.items() for x in kv])
     is_relation = words[F.col("p")].isNotNull() | F.startswith("p", F.lit(PROV + "qualified")) | (F.col("p") == PROV + "asInBundle")
     base_type = (F.col("p") == RDF + "type") & F.col("o.lex").isin(PROV + "Entity", PROV + "Activity", PROV + "Agent")
     slot = F.when(F.col("rtype") == "Activity", of_time[F.col("p")])
-    element = facts.groupBy("doc_id", "scope", "id", "rtype").agg(*[F.min(F.when(slot == c, F.col("o.lex"))).alias(c) for c in R.TIMES], F.collect_list(F.when(slot.isNull() & ~is_relation & ~base_type, F.struct("p", "o"))).alias("attrs"))
-    element = element.select("doc_id", "scope", "rtype", "id", *[none.alias(a) for a in R.ARGS], *R.TIMES, "attrs")
+    element = facts.groupBy("doc_id", "scope", "id", "rtype").agg(*[F.collect_set(F.when(slot == c, F.col("o.lex"))).alias(c) for c in R.TIMES], F.collect_list(F.when(slot.isNull() & ~is_relation & ~base_type, F.struct("p", "o"))).alias("attrs"))
+    element = element.where(F.greatest(*[F.size(c) for c in R.TIMES]) < 2)
+    element = element.select("doc_id", "scope", "rtype", "id", *[none.alias(a) for a in R.ARGS], *[F.get(c, F.lit(0)).alias(c) for c in R.TIMES], "attrs")
     every = element.unionByName(qualified).unionByName(binary)
     return _as_records(every, namespaces)
 
@@ -210,6 +284,40 @@ def from_quads(quad_rows: DataFrame, namespaces: DataFrame | None = None) -> Dat
 _ELEMENT_SUBTYPES = {"SoftwareAgent": "Agent", "Person": "Agent", "Organization": "Agent", "Plan": "Entity", "Collection": "Entity", "EmptyCollection": "Entity"}
 
 
+#: Lexical forms that are no text: a year, or a year and month, with or without a zone.
+_YEAR = r"^(-?)0*([0-9]{4,}|[0-9]+)(?:Z|[+-][0-9]{2}:[0-9]{2})?$"
+_YEAR_FORM = r"^-?[0-9]{4,}(?:Z|[+-][0-9]{2}:[0-9]{2})?$"
+_MONTH = r"^(-?)0*([0-9]+)-([0-9]{2})(?:Z|[+-][0-9]{2}:[0-9]{2})?$"
+_MONTH_FORM = r"^-?[0-9]{4,}-[0-9]{2}(?:Z|[+-][0-9]{2}:[0-9]{2})?$"
+
+
+def plain_form(lex: Column, datatype: Column) -> Column:
+    """The text that a literal is kept by: years and months as plain numbers without zone,
+    base64 without line breaks; anything else, and what is no such form, as it is."""
+    sign, digits = F.regexp_extract(lex, _YEAR, 1), F.regexp_extract(lex, _YEAR, 2)
+    year = F.concat(F.when(digits == "0", "").otherwise(sign), F.regexp_replace(digits, "^0+(?=.)", ""))
+    month_year = F.regexp_replace(F.regexp_extract(lex, _MONTH, 2), "^0+(?=.)", "")
+    month = F.concat(F.when(month_year == "0", "").otherwise(F.regexp_extract(lex, _MONTH, 1)), month_year, F.lit("-"), F.regexp_extract(lex, _MONTH, 3))
+    packed = F.regexp_replace(lex, r"\s+", "")
+    out = F.when((datatype == XSD + "gYear") & lex.rlike(_YEAR_FORM), year).when((datatype == XSD + "gYearMonth") & lex.rlike(_MONTH_FORM), month)
+    return out.when((datatype == XSD + "base64Binary") & F.try_to_binary(packed, F.lit("base64")).isNotNull(), packed).otherwise(lex)
+
+
+def lexical_error(lex: Column, datatype: Column) -> Column:
+    """What is wrong with a typed literal's text, or null."""
+    whole = datatype.isin(*[XSD + t for t in ("int", "long", "integer")])
+    bad = F.when((datatype == XSD + "dateTime") & V.parse_datetime(lex).isNull(), "no date and time").when((datatype == XSD + "gYear") & ~lex.rlike(_YEAR_FORM), "no year")
+    bad = bad.when((datatype == XSD + "gYearMonth") & ~lex.rlike(_MONTH_FORM), "no year and month").when((datatype == XSD + "boolean") & V.parse_boolean(lex).isNull(), "no truth value")
+    bad = bad.when((datatype == XSD + "double") & lex.try_cast("double").isNull(), "no number").when(whole & ~lex.rlike(r"^\s*[+-]?[0-9]+\s*$"), "no whole number")
+    return bad.when((datatype == XSD + "base64Binary") & F.try_to_binary(F.regexp_replace(lex, r"\s+", ""), F.lit("base64")).isNull(), "no base64")
+
+
+def bad_literals(quad_rows: DataFrame) -> DataFrame:
+    """(doc_id, scope, s, p, lex, datatype, detail) of typed literals whose text is no such value; from_quads() keeps them as literals."""
+    rows = quad_rows.where("o.kind = 'literal'").select("doc_id", F.coalesce("graph", F.lit("")).alias("scope"), F.col("s.lex").alias("s"), "p", F.col("o.lex").alias("lex"), F.col("o.datatype").alias("datatype"))
+    return rows.withColumn("detail", lexical_error(F.col("lex"), F.col("datatype"))).where("detail is not null")
+
+
 def _slots() -> Column:
     """`kind property` -> column of a qualified node's formal property."""
     pairs = []
@@ -245,12 +353,12 @@ def _as_records(rows: DataFrame, namespaces: DataFrame | None) -> DataFrame:
     name_of = F.create_map(*[F.lit(x) for kv in back.items() for x in kv])
 
     def value_of(o: Column) -> Column:
-        lex, dt = o["lex"], o["datatype"]
+        lex, dt = plain_form(o["lex"], o["datatype"]), o["datatype"]
         whole = dt.isin(XSD + "int", XSD + "long", XSD + "integer") & lex.rlike(r"^[+-]?[0-9]+$") & (F.replace(V.canonical_xsd(lex), F.lit("xsd:"), F.lit(XSD)) == dt)
         time = V.parse_datetime(lex)
         number = lex.try_cast("double")
         plain = F.when(o["kind"] == "iri", V.v_qname(named(lex))).when(o["lang"].isNotNull(), V.v_literal(lex, PROV + "InternationalizedString", o["lang"]))
-        plain = plain.when(dt.isNull() | (dt == XSD + "string"), V.v_str(lex)).when(whole, V.v_int(lex)).when(dt == XSD + "boolean", V.v_bool(V.parse_boolean(lex)))
+        plain = plain.when(dt.isNull() | (dt == XSD + "string"), V.v_str(lex)).when(whole, V.v_int(lex)).when((dt == XSD + "boolean") & V.parse_boolean(lex).isNotNull(), V.v_bool(V.parse_boolean(lex)))
         plain = plain.when((dt == XSD + "dateTime") & time.isNotNull(), V.v_datetime(time)).when((dt == XSD + "double") & number.isNotNull(), V.v_float(number))
         decimal = F.when(dt == XSD + "decimal", F.coalesce(V.canonical_decimal(lex), lex)).otherwise(lex)
         other = F.struct(F.lit("literal").alias("kind"), lex.alias("lex"), dt.alias("datatype"), o["lang"].alias("lang"), F.concat_ws("|", dt, F.lit(""), decimal).alias("cmp"))

@@ -193,8 +193,14 @@ def cartesian_expand_whole(spark, sf):
 
 
 def _combinations(lines):
-    g = lines.groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_set("l_partkey").alias("ps"), F.collect_set("l_suppkey").alias("ss"))
-    return g.select("k", F.explode("ps").alias("p"), "ss").select("k", "p", F.explode("ss").alias("s"))
+    """Each order as an association told by a blank node with several agents and plans."""
+    at = lambda prefix, key: triples.iri(F.concat(F.lit(f"{lift.BASE}{prefix}/"), F.col(key).cast("string")))
+    node = triples.blank(F.concat(F.lit("n"), F.col("l_orderkey").cast("string")))
+    rows = [(at("order", "l_orderkey"), "qualifiedAssociation", node), (node, "agent", at("supp", "l_suppkey")), (node, "hadPlan", at("part", "l_partkey"))]
+    made = F.array(*[F.struct(s.cast(triples.TERM).alias("s"), F.lit(PROV + p).alias("p"), o.cast(triples.TERM).alias("o")) for s, p, o in rows])
+    out = triples.from_quads(lines.select(F.lit("doc").alias("doc_id"), F.lit(None).cast("string").alias("graph"), F.inline(made)))
+    number = lambda c, prefix: F.substr(F.col(f"{c}.uri"), F.lit(len(f"{lift.BASE}{prefix}/") + 1)).cast("long")
+    return out.select(number("arg1", "order").alias("k"), number("arg3", "part").alias("p"), number("arg2", "supp").alias("s"))
 
 
 _TYPE = triples.RDF + "type"
@@ -292,3 +298,7 @@ def _round_trip(format: str):
 
 for _format in ("json", "jsonld", "xml", "rdf"):
     query("SELECT 'Agent' AS rtype, count(*) AS n FROM customer UNION ALL SELECT 'Delegation', count(*) FROM customer", f"{_format}_roundtrip")(_round_trip(_format))
+
+from . import document_queries  # noqa: E402  registers its queries
+
+assert document_queries
