@@ -35,9 +35,9 @@ def main(argv: list[str] | None = None) -> int:
             texts = statements.texts(spark, given.source)
             write.convert(texts, given.to, given.source_format).select("text").write.text(given.target)
             return 0
-        sides = [read.read(spark, p, f).drop("doc_id") for p, f in ((given.left, given.source_format), (given.right, given.right_format or given.source_format))]
-        left, right = (s.selectExpr("'doc' as doc_id", "*") for s in sides)
-        return 0 if setops.equal(left, right) else 1
+        texts = [(statements.texts(spark, p), f) for p, f in ((given.left, given.source_format), (given.right, given.right_format or given.source_format))]
+        left, right = (read.from_content(t, f) for t, f in texts)
+        return 0 if setops.equal(left, right, *(read.bundles_of(t, f) for t, f in texts), by_name=False) else 1
     except Exception as error:
         print(f"E: {error}", file=sys.stderr)
         return 2

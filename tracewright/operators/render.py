@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import values as V
 from ..functions.catalog import ELEMENTS, KEYWORD, KINDS, TIMES, argument_names, time_names
 from . import records as R
+from .names import scope_labels
 from .numbering import number_rows
 
 
@@ -30,9 +31,11 @@ def record_text(records: DataFrame) -> Column:
     return out
 
 
-def document_text(records: DataFrame, namespaces: DataFrame | None = None) -> DataFrame:
+def document_text(records: DataFrame, namespaces: DataFrame | None = None, bundles: DataFrame | None = None) -> DataFrame:
     """(doc_id, text): each document as one text: prefixes, its records in order, bundles
-    indented. For texts that fit a row; record_text() writes a line for each record."""
+    indented, those of `bundles` (doc_id, scope) even without records. A bundle's name has the
+    prefix of its document's namespaces. For texts that fit a row; record_text() writes a
+    line for each record."""
     lines = records.select("doc_id", "scope", F.struct(F.lit(1).alias("part"), F.col("seq"), record_text(records).alias("line")).alias("l"))
     if namespaces is not None:
         declared = F.when(F.col("prefix") == "", F.concat(F.lit("default <"), "uri", F.lit(">"))).otherwise(F.concat(F.lit("prefix "), "prefix", F.lit(" <"), "uri", F.lit(">")))
@@ -40,8 +43,15 @@ def document_text(records: DataFrame, namespaces: DataFrame | None = None) -> Da
         blank = namespaces.select("doc_id", "scope").distinct().select("doc_id", "scope", F.struct(F.lit(0).alias("part"), F.lit(1 << 62).alias("seq"), F.lit("").alias("line")).alias("l"))
         lines = lines.unionByName(heads).unionByName(blank)
     scopes = lines.groupBy("doc_id", "scope").agg(F.transform(F.sort_array(F.collect_list("l")), lambda l: l["line"]).alias("lines"))
+    if bundles is not None:
+        empty = bundles.select("doc_id", "scope").distinct().join(scopes, ["doc_id", "scope"], "left_anti")
+        scopes = scopes.unionByName(empty.withColumn("lines", F.array().cast("array<string>")))
     local = F.regexp_extract("scope", r"([^/#]*)$", 1)
-    inner = F.concat(F.lit("  bundle "), F.when(local == "", F.col("scope")).otherwise(local), F.lit("\n    "), F.array_join("lines", "\n    "), F.lit("\n  endBundle"))
+    if namespaces is None:
+        scopes = scopes.withColumn("label", F.when(local == "", F.col("scope")).otherwise(local))
+    else:
+        scopes = scope_labels(scopes, namespaces)
+    inner = F.concat(F.lit("  bundle "), "label", F.when(F.size("lines") > 0, F.lit("\n    ")).otherwise(""), F.array_join("lines", "\n    "), F.lit("\n  endBundle"))
     body = F.when(F.col("scope") == "", F.array_join("lines", "\n  ")).otherwise(F.substr(inner, F.lit(3)))
     joined = scopes.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("scope", body.alias("body")))), lambda s: s["body"]).alias("parts"))
     return joined.select("doc_id", F.concat(F.lit("document\n  "), F.array_join("parts", "\n  "), F.lit("\nendDocument")).alias("text"))

@@ -53,8 +53,25 @@ def differences(left: DataFrame, right: DataFrame) -> DataFrame:
     return missing_from(left, right).withColumn("side", F.lit("left")).unionByName(missing_from(right, left).withColumn("side", F.lit("right")))
 
 
-def equal(left: DataFrame, right: DataFrame) -> bool:
+def all_bundles(records: DataFrame, bundles: DataFrame | None = None) -> DataFrame:
+    """(doc_id, scope) of the bundles that have records and of those in `bundles` (doc_id, scope), which may be empty."""
+    used = records.where("scope <> ''").select("doc_id", "scope")
+    return (used if bundles is None else used.unionByName(bundles.select("doc_id", "scope"))).distinct()
+
+
+def bundle_differences(left: DataFrame, right: DataFrame, left_bundles: DataFrame | None = None, right_bundles: DataFrame | None = None) -> DataFrame:
+    """(doc_id, scope, side) of bundles that only one side has, with records or empty."""
+    one, other = all_bundles(left, left_bundles), all_bundles(right, right_bundles)
+    only = lambda a, b, side: a.join(b, ["doc_id", "scope"], "left_anti").withColumn("side", F.lit(side))
+    return only(one, other, "left").unionByName(only(other, one, "right"))
+
+
+def equal(left: DataFrame, right: DataFrame, left_bundles: DataFrame | None = None, right_bundles: DataFrame | None = None, by_name: bool = True) -> bool:
     """Whether the documents have the same bundles and, in each, the same set of records, whatever their order and number.
 
-    Symmetric on purpose: bundles or identifiers that only the other side has make a difference."""
-    return missing_from(left, right).isEmpty() and missing_from(right, left).isEmpty()
+    Symmetric on purpose: bundles or identifiers that only the other side has make a
+    difference, empty bundles too, where they are given. by_name: documents of one doc_id are
+    compared; without it each side is taken as one document, whatever its doc_id."""
+    if not by_name:
+        left, right, left_bundles, right_bundles = (x if x is None else x.withColumn("doc_id", F.lit("")) for x in (left, right, left_bundles, right_bundles))
+    return missing_from(left, right).isEmpty() and missing_from(right, left).isEmpty() and bundle_differences(left, right, left_bundles, right_bundles).isEmpty()

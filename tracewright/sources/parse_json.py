@@ -29,6 +29,7 @@ def prov_json(text: str) -> Iterator[dict]:
     for name, inner in _object(document.get("bundle", {}), "bundle").items():
         if "bundle" in _object(inner, name):
             raise ValueError("a bundle cannot hold bundles")
+        yield {"what": "bundle", "scope": name}
         yield from _container(inner, name)
 
 
@@ -122,6 +123,7 @@ def _graph(container: dict, scope: str) -> Iterator[dict]:
         if kind == "Bundle" and "@graph" in item:
             if scope:
                 raise ValueError("a bundle cannot hold bundles")
+            yield {"what": "bundle", "scope": item["@id"]}
             yield from _graph(item, item["@id"])
             continue
         if kind == "Mention" or kind not in KINDS:

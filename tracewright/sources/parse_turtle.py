@@ -46,6 +46,7 @@ class _Reader:
     def __init__(self, text: str):
         self.tokens, self.at, self.prefixes, self.base, self.graph, self.n = _tokens(text), 0, {}, "", None, 0
         self.quads: list[tuple] = []
+        self.graphs: list[str] = []
 
     def peek(self) -> tuple[str, str]:
         return self.tokens[self.at] if self.at < len(self.tokens) else ("end", "")
@@ -94,6 +95,7 @@ class _Reader:
     def block(self, graph: str | None) -> None:
         self.want("{")
         self.graph = graph
+        self.graphs += [] if graph is None else [graph]
         while self.peek()[1] != "}":
             self.statement()
             if self.peek()[1] == ".":
@@ -154,6 +156,13 @@ def turtle(text: str) -> tuple[list[tuple], dict[str, str]]:
     return reader.quads, reader.prefixes
 
 
+def graph_names(text: str) -> list[str]:
+    """Names of the graphs of a text, those without statements, too."""
+    reader = _Reader(text)
+    reader.document()
+    return list(dict.fromkeys(reader.graphs))
+
+
 def terms(text: str) -> Iterator[dict]:
     """Quads as rows for a DataFrame."""
     keys = ("kind", "lex", "datatype", "lang")

@@ -105,6 +105,7 @@ def _children(container, scope: str, rows: list[dict], names: _Names) -> None:
         if word == "bundleContent":
             if scope:
                 raise ValueError("a bundle cannot hold bundles")
+            rows.append({"what": "bundle", "scope": _written(ident, ns, names)})
             _children(child, _written(ident, ns, names), rows, names)
             continue
         subtype, kind = _SUBTYPE_OF_KEYWORD.get(word, (None, KIND_OF_KEYWORD.get(word)))

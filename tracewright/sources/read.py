@@ -11,7 +11,7 @@ from ..operators import triples
 from ..operators.records import COLUMNS
 from . import statements
 from .parse_json import prov_json, prov_jsonld
-from .parse_turtle import terms, turtle
+from .parse_turtle import graph_names, terms, turtle
 from .parse_xml import prov_xml
 
 
@@ -38,7 +38,7 @@ def _any(text: str) -> Iterator[dict]:
             rows = list(parse(text))
         except Exception:  # another format may fit
             continue
-        if any(r["what"] == "statement" for r in rows):
+        if any(r["what"] in ("statement", "bundle") for r in rows):
             return iter(rows)
     raise ValueError("no format fits")
 
@@ -85,6 +85,23 @@ def prefixes_of(documents: DataFrame, text_col: str = "text") -> DataFrame:
     return documents.select("doc_id", text_col).mapInPandas(run, "doc_id string, scope string, seq long, prefix string, uri string")
 
 
+def bundles_of(documents: DataFrame, format: str | None = None, text_col: str = "text") -> DataFrame:
+    """(doc_id, scope): the bundles of documents (doc_id, text), those without statements, too."""
+    name = format and format.lower()
+    if name != "rdf":
+        flat = statements.flatten_documents(documents, PARSERS[name] if name else _any, text_col)
+        found = statements.bundles(flat)
+        if name:
+            return found
+        documents = documents.join(statements.errors(flat).select("doc_id"), "doc_id", "left_semi")
+
+    def graphs(text: str) -> Iterator[dict]:
+        return ({"what": "bundle", "scope": g} for g in graph_names(text))
+
+    named = statements.flatten_documents(documents, graphs, text_col).where("what = 'bundle'").select("doc_id", "scope").distinct()
+    return named if name else found.unionByName(named)
+
+
 def from_content(documents: DataFrame, format: str | None = None, text_col: str = "text") -> DataFrame:
     """Records of documents (doc_id, text). Without a format each text is read by the first
     one that gives a statement. Texts that cannot be read give no records; see

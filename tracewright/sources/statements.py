@@ -20,7 +20,7 @@ from ..functions.catalog import ELEMENTS, KINDS, PROV, XSD, argument_names, time
 from ..operators import records as R
 from ..operators.names import resolve, tables
 
-#: what: binding (attr is the prefix, lex the uri), attribute, statement (one without attributes) or error (lex the message).
+#: what: binding (attr is the prefix, lex the uri), bundle (scope is its name), attribute, statement (one without attributes) or error (lex the message).
 FLAT = "doc_id string, scope string, seq bigint, what string, rtype string, id string, attr string, pos bigint, form string, lex string, datatype string, lang string"
 _FIELDS = [c.split()[0] for c in FLAT.split(", ")]
 
@@ -64,6 +64,13 @@ def namespaces(flat: DataFrame) -> DataFrame:
     return own.join(document, "doc_id", "left").select("doc_id", _scope_uri().alias("scope"), "seq", "prefix", "uri")
 
 
+def bundles(flat: DataFrame) -> DataFrame:
+    """(doc_id, scope): the bundles of the documents by uri, those without statements, too."""
+    document = tables(bindings(flat)).where("scope = ''").select("doc_id", F.col("own").alias("doc_ns"))
+    named = flat.where("what = 'bundle'").select("doc_id", "scope").join(document, "doc_id", "left")
+    return named.select("doc_id", _scope_uri().alias("scope")).distinct()
+
+
 def _scope_uri() -> Column:
     return F.when(F.col("scope") == "", F.lit("")).otherwise(F.coalesce(resolve(F.col("scope"), F.col("doc_ns"))["uri"], F.col("scope")))
 

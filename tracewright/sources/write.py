@@ -6,11 +6,13 @@ size of a row use render.record_text() or triples.nquads(), which write line by
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..functions.catalog import KEYWORD, KINDS, PROV, SUBTYPES, XSD, argument_names, time_names
+from ..functions.catalog import KEYWORD, KINDS, PROV, SUBTYPES, TIMES, XSD, argument_names, time_names
 from ..operators import records as R
 from ..operators import render, triples
 from ..operators.names import scope_labels
@@ -70,7 +72,15 @@ def instances(records: DataFrame) -> DataFrame:
     return joined.select("doc_id", "scope", "seq", words[F.col("rtype")].alias("keyword"), F.coalesce(V.name_text(F.col("id")), "anon").alias("key"), body.alias("body"))
 
 
-def to_json(records: DataFrame, namespaces: DataFrame | None = None) -> DataFrame:
+def _and_empty(scopes: DataFrame, bundles: DataFrame | None, **columns: Column) -> DataFrame:
+    """scopes and the bundles (doc_id, scope) that aren't among them, with these columns."""
+    if bundles is None:
+        return scopes
+    empty = bundles.select("doc_id", "scope").distinct().join(scopes, ["doc_id", "scope"], "left_anti")
+    return scopes.unionByName(empty.withColumns(columns), allowMissingColumns=True)
+
+
+def to_json(records: DataFrame, namespaces: DataFrame | None = None, bundles: DataFrame | None = None) -> DataFrame:
     """PROV-JSON: keyword -> identifier -> object, a list where an identifier has several."""
     one = _joined(instances(records), ["doc_id", "scope", "keyword", "key"], F.col("seq"), F.col("body"), "body")
     one = one.withColumn("entry", F.concat(quoted(F.col("key")), F.lit(": "), F.when(F.col("n") == 1, F.col("body")).otherwise(F.concat(F.lit("["), "body", F.lit("]")))))
@@ -81,7 +91,7 @@ def to_json(records: DataFrame, namespaces: DataFrame | None = None) -> DataFram
         heads = _joined(named, ["doc_id", "scope"], F.col("seq"), F.col("entry"), "entries").select("doc_id", "scope", F.lit(-1).cast("long").alias("seq"), F.concat(F.lit('"prefix": {'), "entries", F.lit("}")).alias("part"))
         words = words.unionByName(heads)
     scopes = _joined(words, ["doc_id", "scope"], F.col("seq"), F.col("part"), "body")
-    inner = scope_labels(scopes.where("scope <> ''"), namespaces).withColumn("part", F.concat(quoted(F.col("label")), F.lit(": {"), "body", F.lit("}")))
+    inner = scope_labels(_and_empty(scopes, bundles, body=F.lit("")).where("scope <> ''"), namespaces).withColumn("part", F.concat(quoted(F.col("label")), F.lit(": {"), "body", F.lit("}")))
     bundles = _joined(inner, ["doc_id"], F.col("scope"), F.col("part"), "parts").select("doc_id", F.concat(F.lit('"bundle": {'), "parts", F.lit("}")).alias("bundles"))
     own = scopes.where("scope = ''").select("doc_id", "body")
     both = own.join(bundles, "doc_id", "full")
@@ -120,22 +130,32 @@ def jsonld_statement(records: DataFrame) -> Column:
 # Fixed value: the context that the JSON-LD notation names.
 CONTEXT_URL = "https://openprovenance.org/prov-jsonld/context.jsonld"
 
+#: What that context says: each kind is a class whose formal attributes are names or times.
+CONTEXT = {"prov": PROV, "xsd": XSD} | {
+    kind: {"@id": f"prov:{kind}", "@context": {f: {"@id": f"prov:{f}", "@type": "xsd:dateTime" if f in TIMES else "@id"} for f in formals}} for kind, (_, formals) in KINDS.items()
+}
+
 
-def to_jsonld(records: DataFrame, namespaces: DataFrame | None = None) -> DataFrame:
-    """The JSON-LD notation: a context of prefixes and a graph of statements and bundles."""
+def to_jsonld(records: DataFrame, namespaces: DataFrame | None = None, bundles: DataFrame | None = None, context: str = "url") -> DataFrame:
+    """The JSON-LD notation: a context of prefixes and a graph of statements and bundles. The
+    notation's own context is named by its url, or written out (context="embed")."""
+    if context not in ("url", "embed"):
+        raise ValueError(f"context is url or embed, not {context}")
+    own_context = quoted(F.lit(CONTEXT_URL)) if context == "url" else F.lit(json.dumps(CONTEXT))
     rows = records.select("doc_id", "scope", "seq", jsonld_statement(records).alias("t"))
     graph = _joined(rows, ["doc_id", "scope"], F.col("seq"), F.col("t"), "graph").select("doc_id", "scope", "graph")
+    graph = _and_empty(graph, bundles, graph=F.lit(""))
     if namespaces is None:
         graph = graph.withColumn("ns", F.lit(None).cast("string"))
     else:
         entry = F.when(F.col("prefix") == "", F.concat(F.lit('"@vocab": '), quoted(F.col("uri")), F.lit(', "@base": '), quoted(F.col("uri")))).otherwise(F.concat(quoted(F.col("prefix")), F.lit(": "), quoted(F.col("uri"))))
         ns = _joined(namespaces.withColumn("entry", entry), ["doc_id", "scope"], F.col("seq"), F.col("entry"), "ns").select("doc_id", "scope", "ns")
         graph = graph.join(ns, ["doc_id", "scope"], "left")
-    context = F.coalesce(F.concat(F.lit("{"), "ns", F.lit("}")), F.lit(None).cast("string"))
-    inner = graph.where("scope <> ''").select("doc_id", "scope", F.lit(0).alias("seq"), F.concat(F.lit('{"@type": "Bundle", "@id": '), quoted(F.col("scope")), F.lit(', "@context": ['), F.coalesce(context, F.lit("")), F.lit('], "@graph": ['), "graph", F.lit("]}")).alias("t"))
+    spaces = F.coalesce(F.concat(F.lit("{"), "ns", F.lit("}")), F.lit(None).cast("string"))
+    inner = graph.where("scope <> ''").select("doc_id", "scope", F.lit(0).alias("seq"), F.concat(F.lit('{"@type": "Bundle", "@id": '), quoted(F.col("scope")), F.lit(', "@context": ['), F.coalesce(spaces, F.lit("")), F.lit('], "@graph": ['), "graph", F.lit("]}")).alias("t"))
     bundles = _joined(inner, ["doc_id"], F.col("scope"), F.col("t"), "bundles").select("doc_id", "bundles")
-    own = graph.where("scope = ''").select("doc_id", "graph", context.alias("context")).join(bundles, "doc_id", "full")
-    return own.select("doc_id", F.concat(F.lit('{"@context": ['), F.concat_ws(", ", "context", quoted(F.lit(CONTEXT_URL))), F.lit('], "@graph": ['), F.concat_ws(", ", "graph", "bundles"), F.lit("]}")).alias("text"))
+    own = graph.where("scope = ''").select("doc_id", "graph", spaces.alias("context")).join(bundles, "doc_id", "full")
+    return own.select("doc_id", F.concat(F.lit('{"@context": ['), F.concat_ws(", ", "context", own_context), F.lit('], "@graph": ['), F.concat_ws(", ", "graph", "bundles"), F.lit("]}")).alias("text"))
 
 
 def escape_xml(s: Column) -> Column:
@@ -167,8 +187,9 @@ def _tag(n: Column) -> Column:
     return F.when(n["prefix"] == "", escape_name(n["local"])).otherwise(F.concat(n["prefix"], F.lit(":"), escape_name(n["local"])))
 
 
-def xml_statement(records: DataFrame) -> Column:
-    """The XML element of a record. A subtype among its types names the element (the first one)."""
+def xml_statement(records: DataFrame, force_types: bool = False) -> Column:
+    """The XML element of a record. A subtype among its types names the element (the first one).
+    force_types: all values have their datatype written, texts too."""
     subtypes = F.create_map(*[F.lit(x) for s, (word, kind) in SUBTYPES.items() for x in (f"{kind} {PROV}{s}", word)])
     words = F.create_map(*[F.lit(x) for kv in KEYWORD.items() for x in kv])
     is_sub = lambda a: (a["name"]["uri"] == PROV + "type") & subtypes[F.concat_ws(" ", F.col("rtype"), a["value"]["cmp"])].isNotNull()
@@ -185,17 +206,20 @@ def xml_statement(records: DataFrame) -> Column:
     def attribute(a: Column) -> Column:
         v, tag = a["value"], _tag(a["name"])
         lang = F.coalesce(v["lang"], F.lit(""))
-        marks = F.when(lang != "", F.concat(F.lit(' xml:lang="'), escape_xml(lang), F.lit('"'))).when((v["kind"] == "str") | (v["datatype"].isNull() & (v["kind"] == "literal")), "").otherwise(F.concat(F.lit(' xsi:type="'), escape_xml(_xsd_type(v)), F.lit('"')))
+        bare = (v["kind"] == "literal") & v["datatype"].isNull()
+        text_type = F.when(v["kind"] == "str", F.lit(' xsi:type="xsd:string"' if force_types else ""))
+        marks = F.when(lang != "", F.concat(F.lit(' xml:lang="'), escape_xml(lang), F.lit('"'))).when(bare, "").when(v["kind"] == "str", text_type).otherwise(F.concat(F.lit(' xsi:type="'), escape_xml(_xsd_type(v)), F.lit('"')))
         return F.concat(F.lit("<"), tag, marks, F.lit(">"), escape_xml(v["lex"]), F.lit("</"), tag, F.lit(">"))
 
     ident = F.coalesce(F.concat(F.lit(' prov:id="'), escape_xml(_tag(F.col("id"))), F.lit('"')), F.lit(""))
     return F.concat(F.lit("<prov:"), word, ident, F.lit(">"), formal, F.array_join(F.transform(sorted_attributes(rest), attribute), ""), F.lit("</prov:"), word, F.lit(">"))
 
 
-def to_xml(records: DataFrame, namespaces: DataFrame | None = None) -> DataFrame:
-    """The XML notation."""
-    rows = records.select("doc_id", "scope", "seq", xml_statement(records).alias("t"))
+def to_xml(records: DataFrame, namespaces: DataFrame | None = None, bundles: DataFrame | None = None, force_types: bool = False) -> DataFrame:
+    """The XML notation. force_types: texts and truth values have their datatype written, too."""
+    rows = records.select("doc_id", "scope", "seq", xml_statement(records, force_types).alias("t"))
     scopes = _joined_plain(rows, ["doc_id", "scope"], F.col("seq"), F.col("t"), "body")
+    scopes = _and_empty(scopes, bundles, body=F.lit(""))
     if namespaces is None:
         scopes = scopes.withColumn("ns", F.lit(""))
     else:
@@ -213,8 +237,8 @@ def _joined_plain(df: DataFrame, keys: list[str], order: Column, text: Column, n
     return df.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order.alias("o"), text.alias("t")))), lambda s: s["t"]), "").alias(name))
 
 
-def to_rdf(records: DataFrame, namespaces: DataFrame | None = None) -> DataFrame:
-    """N-Quads, one text for a document."""
+def to_rdf(records: DataFrame, namespaces: DataFrame | None = None, bundles: DataFrame | None = None) -> DataFrame:
+    """N-Quads, one text for a document. The form has no place for bundles without records."""
     lines = triples.nquads(triples.quads(records))
     return lines.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_set("line")), "\n").alias("text"))
 
@@ -222,22 +246,23 @@ def to_rdf(records: DataFrame, namespaces: DataFrame | None = None) -> DataFrame
 WRITERS = {"json": to_json, "xml": to_xml, "jsonld": to_jsonld, "rdf": to_rdf, "provn": render.document_text}
 
 
-def serialize(records: DataFrame, format: str = "json", namespaces: DataFrame | None = None) -> DataFrame:
-    """(doc_id, text) of every document in a format."""
+def serialize(records: DataFrame, format: str = "json", namespaces: DataFrame | None = None, bundles: DataFrame | None = None, **options) -> DataFrame:
+    """(doc_id, text) of every document in a format. bundles (doc_id, scope) are written even
+    without records; options are those of the format's own function."""
     if format.lower() not in WRITERS:
         raise UnknownFormat(format)
-    return WRITERS[format.lower()](records, namespaces)
+    return WRITERS[format.lower()](records, namespaces, bundles, **options)
 
 
 def convert(documents: DataFrame, to: str, source: str | None = None) -> DataFrame:
     """(doc_id, text) of documents (doc_id, text) in another format."""
-    from .read import PARSERS, _any, from_content, prefixes_of
+    from .read import PARSERS, _any, bundles_of, from_content, prefixes_of
     from .statements import flatten_documents, namespaces
 
     if source == "rdf":
-        return serialize(from_content(documents, "rdf"), to, prefixes_of(documents))
+        return serialize(from_content(documents, "rdf"), to, prefixes_of(documents), bundles_of(documents, "rdf"))
     flat = flatten_documents(documents, PARSERS[source] if source else _any)
-    return serialize(from_content(documents, source), to, namespaces(flat))
+    return serialize(from_content(documents, source), to, namespaces(flat), bundles_of(documents, source))
 
 
 __all__ = ["convert", "serialize"]
