@@ -155,3 +155,114 @@ def own_properties(spark, sf):
     q = _quads(t, (line, lift.BASE + "ex/partOf", _iri("order", "l_orderkey")), (line, lift.BASE + "ex/from", _iri("supp", "l_suppkey")))
     kinds = spark.createDataFrame([(lift.BASE + "ex/partOf", "Generation"), (lift.BASE + "ex/from", "Attribution")], "p string, kind string")
     return triples.from_quads(q, relation_map=kinds).select("rtype", F.col("arg1.uri").alias("arg1"), F.col("arg2.uri").alias("arg2"))
+
+
+# whole documents
+
+
+def _nation_documents(spark, sf):
+    """A document for each nation: its customers as agents on its behalf, and its suppliers in a bundle."""
+    c, s = lift.table(spark, sf, "customer"), lift.table(spark, sf, "supplier")
+    doc = lambda key: F.concat(F.lit("nation"), F.col(key).cast("string"))
+    stock = F.concat(F.lit(f"{lift.BASE}stock/"), F.col("s_nationkey").cast("string"))
+    records = R.agent(c, F.col("c_custkey"), lift.name("cust", "c_custkey"), doc=doc("c_nationkey"))
+    records = records.unionByName(R.delegation(c, F.col("c_custkey"), lift.name("cust", "c_custkey"), lift.name("nation", "c_nationkey"), doc=doc("c_nationkey")))
+    records = records.unionByName(R.agent(s, F.col("s_suppkey"), lift.name("supp", "s_suppkey"), doc=doc("s_nationkey"), scope=stock))
+    docs = lift.table(spark, sf, "nation").select(doc("n_nationkey").alias("doc_id"))
+    pairs = [(p, f"{lift.BASE}{p}/") for p in ("cust", "nation", "stock", "supp", "ex")]
+    spaces = docs.select("doc_id", F.lit("").alias("scope"), F.inline(F.array(*[F.struct(F.lit(i).cast("long").alias("seq"), F.lit(p).alias("prefix"), F.lit(u).alias("uri")) for i, (p, u) in enumerate(pairs)])))
+    return records, spaces
+
+
+_DRAWN = f"""
+WITH a AS (SELECT c_nationkey AS k, c_custkey AS id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n FROM customer),
+na AS (SELECT k, count(*) AS c FROM a GROUP BY k),
+s AS (SELECT s_nationkey AS k, s_suppkey AS id, coalesce(c, 0) + row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS n FROM supplier LEFT JOIN na ON na.k = s_nationkey),
+ns AS (SELECT k, count(*) AS c FROM s GROUP BY k),
+agents AS (SELECT k, string_agg('n' || n || ' [label="cust:' || id || '", URL="{lift.BASE}cust/' || id || '", shape=house, style=filled, fillcolor="#FED37F"];', chr(10) ORDER BY n) AS t FROM a GROUP BY k),
+clusters AS (SELECT k, 'subgraph cluster_c1 {{' || chr(10) || 'URL="{lift.BASE}stock/' || k || '";' || chr(10) || 'label="stock:' || k || '";' || chr(10)
+  || string_agg('n' || n || ' [label="supp:' || id || '", URL="{lift.BASE}supp/' || id || '", shape=house, style=filled, fillcolor="#FED37F"];', chr(10) ORDER BY n) || chr(10) || '}}' AS t FROM s GROUP BY k),
+acts AS (SELECT a.k, string_agg('b' || n || ' [label="", shape=point, color=gray];' || chr(10)
+  || CASE WHEN n = 1 THEN 'n' || (na.c + coalesce(ns.c, 0) + 1) || ' [label="nation:' || a.k || '", URL="{lift.BASE}nation/' || a.k || '", shape=house, style=filled, fillcolor=lightgray, color=dimgray];' || chr(10) ELSE '' END
+  || 'n' || n || ' -> b' || n || ' [arrowhead=none, label="actedOnBehalfOf", fontsize="10.0", color="#FED37F"];' || chr(10)
+  || 'b' || n || ' -> n' || (na.c + coalesce(ns.c, 0) + 1) || ' [fontsize="10.0", color="#FED37F"];', chr(10) ORDER BY n) AS t FROM a JOIN na ON na.k = a.k LEFT JOIN ns ON ns.k = a.k GROUP BY a.k)
+SELECT 'nation' || k AS doc_id, 'digraph {{' || chr(10) || 'rankdir=BT;' || chr(10) || 'charset="utf-8";' || chr(10) || concat_ws(chr(10), agents.t, clusters.t, acts.t) || chr(10) || '}}' AS text
+FROM (SELECT k FROM na UNION SELECT k FROM ns) LEFT JOIN agents USING (k) LEFT JOIN clusters USING (k) LEFT JOIN acts USING (k)
+"""
+
+
+@query(_DRAWN)
+def dot_document(spark, sf):
+    from ..operators import dot
+
+    records, spaces = _nation_documents(spark, sf)
+    return dot.dot_document(records, spaces)
+
+
+@query(f"""
+SELECT 'nation' || k AS doc_id, '{lift.BASE}' || scope || '/' || k AS scope, side FROM (
+  SELECT n_nationkey AS k, 'empty' AS scope, 'right' AS side FROM nation WHERE n_nationkey % 2 = 0
+  UNION ALL SELECT n_nationkey, 'stock', 'left' FROM nation WHERE n_nationkey % 3 = 0 AND n_nationkey IN (SELECT s_nationkey FROM supplier))
+""")
+def bundle_differences(spark, sf):
+    """Two versions of each nation's document: the second lacks some bundles and has empty ones more."""
+    from ..operators import setops
+
+    records, _ = _nation_documents(spark, sf)
+    n = lift.table(spark, sf, "nation")
+    other = records.join(n.where("n_nationkey % 3 = 0").select(F.concat(F.lit("nation"), F.col("n_nationkey").cast("string")).alias("doc_id"), F.lit(True).alias("less")), "doc_id", "left").where("scope = '' or less is null").drop("less")
+    empty = n.where("n_nationkey % 2 = 0").select(F.concat(F.lit("nation"), F.col("n_nationkey").cast("string")).alias("doc_id"), F.concat(F.lit(f"{lift.BASE}empty/"), F.col("n_nationkey").cast("string")).alias("scope"))
+    return setops.bundle_differences(records, other, None, empty)
+
+
+def _every_kind(spark, sf, kinds):
+    """For each customer a statement of each kind, with all it can have, in its nation's document or a bundle of it."""
+    from ..functions.catalog import ELEMENTS, argument_names, time_names
+    from ..operators.triples import PLAIN
+
+    t = lift.table(spark, sf, "customer")
+    key, spare = F.col("c_custkey").cast("string"), F.col("c_custkey") % 2 == 0
+    doc = F.concat(F.lit("nation"), F.col("c_nationkey").cast("string"))
+    scope = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit(f"{lift.BASE}stock/"), F.col("c_nationkey").cast("string"))).otherwise("")
+    out = None
+    for i, kind in enumerate(kinds):
+        own = lift.ex(F.concat(F.lit(f"{kind.lower()}-"), key))
+        formals = {n: lift.ex(F.concat(F.lit(f"{kind.lower()}-{n}-"), key)) for n in argument_names(kind)}
+        formals |= {n: V.time_of(F.lit("1998-01-01 10:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.col("c_custkey").cast("int"))) for n in time_names(kind)}
+        attrs = [] if kind in PLAIN else [(V.prov("label"), V.v_str(F.col("c_name"))), (lift.ex("balance"), V.v_float(F.col("c_acctbal"))), (lift.ex("nation"), V.v_int(F.col("c_nationkey"))), (lift.ex("like"), V.v_qname(lift.name("cust", "c_custkey")))]
+        ident = own if kind in ELEMENTS else V.no_name() if kind in PLAIN else F.when(spare, own)
+        one = R.record(t, kind, F.col("c_custkey") * 32 + i, doc=doc, scope=scope, id=ident, attrs=attrs, **formals)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _kinds_back(format: str, kinds):
+    def run(spark, sf):
+        """Statements of all kinds written, read again, and counted where an equal one is in the same bundle."""
+        from ..operators import setops
+        from ..operators.scratch import settle
+        from ..sources.read import from_content
+        from ..sources.write import serialize
+
+        records = _every_kind(spark, sf, kinds)
+        _, spaces = _nation_documents(spark, sf)
+        texts = settle(serialize(records, format, spaces), "texts")
+        back = from_content(texts, "rdf" if format == "trig" else format)
+        key = lambda df: df.select("doc_id", "scope", "rtype", setops.record_key(df).alias("k"))
+        same = key(back).join(key(records).distinct(), ["doc_id", "scope", "rtype", "k"], "left_semi")
+        return same.groupBy("rtype", (F.col("scope") != "").alias("in_bundle")).agg(F.count("*").alias("n"))
+
+    return run
+
+
+def _register_kinds() -> None:
+    from ..functions.catalog import KINDS
+
+    for format in ("json", "jsonld", "xml", "rdf", "trig"):
+        # a mention has no form in JSON-LD
+        kinds = [k for k in KINDS if format != "jsonld" or k != "Mention"]
+        values = ", ".join(f"('{k}')" for k in kinds)
+        query(f"SELECT rtype, c_custkey % 3 = 0 AS in_bundle, count(*) AS n FROM customer, (VALUES {values}) v(rtype) GROUP BY ALL", f"{format}_kinds_roundtrip")(_kinds_back(format, kinds))
+
+
+_register_kinds()

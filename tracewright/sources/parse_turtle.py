@@ -10,7 +10,7 @@ from ..operators.triples import RDF
 
 _TOKEN = re.compile(
     r"""\s*(?:\#[^\n]*\s*)*(?:
-      (?P<iri><[^<>"{}|^`\\\x00-\x20]*>)
+      (?P<iri><(?:[^<>"{}|^`\\\x00-\x20]|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8})*>)
     | (?P<long>\"\"\"(?:(?:\"|\"\")?(?:[^\"\\]|\\.))*\"\"\"|'''(?:(?:'|'')?(?:[^'\\]|\\.))*''')
     | (?P<text>"(?:[^"\\\n\r]|\\.)*"|'(?:[^'\\\n\r]|\\.)*')
     | (?P<lang>@[A-Za-z]+(?:-[A-Za-z0-9]+)*)

@@ -19,6 +19,7 @@ from ..operators.names import scope_labels
 from ..operators.select import sorted_attributes
 from ..operators.setops import record_key
 from .read import UnknownFormat
+from .write_trig import to_trig
 
 
 def quoted(s: Column) -> Column:
@@ -243,7 +244,7 @@ def to_rdf(records: DataFrame, namespaces: DataFrame | None = None, bundles: Dat
     return lines.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_set("line")), "\n").alias("text"))
 
 
-WRITERS = {"json": to_json, "xml": to_xml, "jsonld": to_jsonld, "rdf": to_rdf, "provn": render.document_text}
+WRITERS = {"json": to_json, "xml": to_xml, "jsonld": to_jsonld, "rdf": to_rdf, "trig": to_trig, "turtle": to_trig, "provn": render.document_text}
 
 
 def serialize(records: DataFrame, format: str = "json", namespaces: DataFrame | None = None, bundles: DataFrame | None = None, **options) -> DataFrame:
