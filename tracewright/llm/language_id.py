@@ -14,7 +14,7 @@ from .common import annotate
 #: Hash buckets of n-grams, as a power of two, and the n-gram lengths.
 BUCKET_BITS, LENGTHS = 14, (1, 2, 3)
 
-#: Labelled documents of each language that are learned from, about: those with a hash of their id below a bound that so many are expected to keep.
+#: Labelled documents of each language that are learned from, about: those with a hash of id, text and language below a bound that so many are expected to keep.
 TRAIN_PER_LANGUAGE = 1500
 
 _LETTER = regex.compile(r"\p{L}")
@@ -39,10 +39,12 @@ def ngram_buckets(text: str) -> np.ndarray:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = TRAIN_PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """(languages, log-probabilities of buckets x languages) from the rows of docs with a
     language and text, about per_language of each language (all, if it has no more). Rows
-    are picked by a hash of the id, so repeated rows are picked alike."""
+    are picked by a hash of id, text and language, so repeated rows are picked alike; ids may
+    be null or equal. A language of which no picked row has an n-gram is learned from all of
+    its rows; one without any n-gram is not learned."""
     size = 1 << BUCKET_BITS
     one = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).where("lang is not null and text is not null")
-    one = one.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit(""))), 11))
+    one = one.withColumn("h", F.shiftrightunsigned(F.xxhash64("id", "text", "lang"), 11))
     # a row for each language
     limits = {r.lang: int(min(1, per_language / r.n) * 2**53) for r in one.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(limits)
@@ -61,10 +63,18 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         lang, bucket = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(bucket, pa.int32()), pa.array(total[lang, bucket], pa.int64())], names=["lang", "bucket", "n"])
 
-    rows = one.where(pick).select("text", "lang").mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    table = rows.toPandas()  # buckets x languages rows at most
-    total = np.full((size, len(langs)), 0.5)
-    np.add.at(total, (table["bucket"].to_numpy(), table["lang"].to_numpy()), table["n"].to_numpy())
+    def counted(rows: DataFrame) -> np.ndarray:
+        sums = rows.select("text", "lang").mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+        table = sums.toPandas()  # buckets x languages rows at most
+        out = np.zeros((size, len(langs)), np.int64)
+        out[table["bucket"].to_numpy(np.int64), table["lang"].to_numpy(np.int64)] = table["n"].to_numpy()
+        return out
+
+    found = counted(one.where(pick))
+    if missed := [lang for lang, n in zip(langs, found.sum(axis=0)) if not n]:
+        found += counted(one.where(F.col("lang").isin(missed)))
+    known = found.sum(axis=0) > 0
+    langs, total = [lang for lang, has in zip(langs, known) if has], found[:, known] + 0.5
     return langs, np.log(total / total.sum(axis=0)).astype(np.float32)
 
 
