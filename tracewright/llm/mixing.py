@@ -1,7 +1,7 @@
 """Mixing sources to target weights by capped water-filling and seeded repetitions.
 
 Every document of a source is taken floor(target / size) times; a seeded part of them
-once more. That part is a range of a hash of the id, cut where the sizes below it sum
+once more. That part is a range of a hash of id and text, cut where the sizes below it sum
 up to the fractional part of the target. The cut is found from two histograms of 4096
 hash ranges each, so no task sees a source's documents together.
 """
@@ -46,15 +46,15 @@ def water_fill(sizes: list[int], weights: list[float], max_epochs: float = 3) ->
     return targets
 
 
-def _place(id_col: Column, seed: int) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), id_col), 64 - 2 * _BITS)
+def _place(id_col: Column, text_col: Column, seed: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), id_col, text_col), 64 - 2 * _BITS)
 
 
 def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(1, 2, 3), max_epochs: int = 3, seed: int = 7) -> DataFrame:
     """One row for each source: source, source_size, target, epochs (whole repetitions)
     and cut: documents whose place is below it are taken once more."""
     spark = docs.sparkSession
-    one = docs.select(F.col(f"`{source_col}`").alias("source"), n_words(F.col(f"`{text_col}`")).alias("size"), _place(F.col(f"`{id_col}`"), seed).alias("place"))
+    one = docs.select(F.col(f"`{source_col}`").alias("source"), n_words(F.col(f"`{text_col}`")).alias("size"), _place(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), seed).alias("place"))
     bins = one.groupBy("source", F.shiftrightunsigned("place", _BITS).alias("hi"), (F.col("place") % (1 << _BITS)).alias("lo")).agg(F.sum("size").alias("size"))
     bins = materialize(bins, "mix-bins")
     totals = {r.source: r.size for r in bins.groupBy("source").agg(F.sum("size").alias("size")).collect()}  # a row for each source
@@ -88,16 +88,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Sources in code point order, null as a source of its own and last, get the weights in
     turn. No document is repeated more than max_epochs times. A source's taken words are
     within half the words of the documents that share the cut's hash range of its target;
-    rows with equal ids (repeated rows, null ids) are taken alike. Null and empty texts
+    rows with equal id and text are taken alike, so ids may be null or shared. Null and empty texts
     have size 0 and are repeated like others. An empty table gives no rows; columns named
-    like a result are replaced. The seed and the ids alone decide, so reruns agree.
+    like a result are replaced. The seed, ids and texts alone decide, so reruns agree.
     """
     plan = plan_mix(docs, id_col, text_col, source_col, weights, max_epochs, seed)
     plan = plan.select(F.col("source").alias("__source"), "source_size", "target", "epochs", "cut")
     small = plan.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
     made = ("size", "source_size", "target", "repeats", "taken")
     kept = [F.col(f"`{c}`") for c in (docs.columns if keep is None else keep) if c not in made]
-    one = docs.select(*kept, F.col(f"`{source_col}`").cast("string").alias("__of"), n_words(F.col(f"`{text_col}`")).alias("size"), _place(F.col(f"`{id_col}`"), seed).alias("__place"))
+    one = docs.select(*kept, F.col(f"`{source_col}`").cast("string").alias("__of"), n_words(F.col(f"`{text_col}`")).alias("size"), _place(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), seed).alias("__place"))
     joined = one.join(F.broadcast(plan) if small else plan, F.expr("__of <=> __source"))
     repeats = F.least(F.lit(max_epochs), F.col("epochs") + (F.col("__place") < F.col("cut")).cast("int")).cast("int")
     return joined.select(*kept, "size", "source_size", "target", repeats.alias("repeats"), (repeats * F.col("size")).cast("long").alias("taken"))
