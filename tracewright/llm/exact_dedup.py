@@ -28,7 +28,7 @@ COMBINE_BYTES = 48 << 20
 #: Leading key bits that are counted to size the directory: 2**14 counts at most go to the driver.
 COUNTED_BITS = 14
 
-_ROWS = T.StructType([T.StructField("id", T.LongType()), T.StructField("rep", T.StringType()), T.StructField("n_points", T.LongType()), T.StructField("key", T.LongType()), T.StructField("sha", T.StringType()), T.StructField("body", T.BinaryType())])
+_ROWS = T.StructType([T.StructField("rep", T.StringType()), T.StructField("n_points", T.LongType()), T.StructField("key", T.LongType()), T.StructField("sha", T.StringType()), T.StructField("body", T.BinaryType())])
 
 
 def _digest_rows(batches):
@@ -37,9 +37,9 @@ def _digest_rows(batches):
     prefix = None
     for batch in batches:
         for lo, hi in slices(batch.column(1)):
-            ids = batch.column(0).slice(lo, hi - lo).to_pylist()
+            ids = batch.column(0).slice(lo, hi - lo)
             out = {f.name: [] for f in _ROWS}
-            for doc_id, text in zip(ids, batch.column(1).slice(lo, hi - lo).to_pylist()):
+            for doc_id, text in zip(ids.to_pylist(), batch.column(1).slice(lo, hi - lo).to_pylist()):
                 text = text or ""
                 body = text.encode().translate(None, _DROP)
                 sha = hashlib.sha256(body).digest()
@@ -57,9 +57,9 @@ def _digest_rows(batches):
                     held += len(body) + 200
                     while held > COMBINE_BYTES and len(seen) > 1:
                         held -= sum(len(b) + 200 for _, b in seen.pop(next(iter(seen))))
-                for name, value in zip(out, (doc_id, rep, len(text), int.from_bytes(sha[:8], "big", signed=True), sha.hex(), fresh)):
+                for name, value in zip(out, (rep, len(text), int.from_bytes(sha[:8], "big", signed=True), sha.hex(), fresh)):
                     out[name].append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], t) for f, t in zip(_ROWS, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()))], names=_ROWS.names)
+            yield pa.RecordBatch.from_arrays([ids] + [pa.array(out[f.name], t) for f, t in zip(_ROWS, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()))], names=["id", *_ROWS.names])
 
 
 def _partition() -> int:
@@ -118,7 +118,7 @@ def _owner(batches):
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 20_000) -> DataFrame:
-    """One row for each row of docs: id_col (long), keep_id, group_size, kept, text_sha256.
+    """One row for each row of docs: id_col (of its own type), keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they are the same bytes after deleting white space
     `[\\x20\\x09-\\x0D]`; null counts as empty, so null, empty and blank texts are one
@@ -129,7 +129,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     distinct keys in a bucket before it is split.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(_digest_rows, _ROWS)
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(_digest_rows, T.StructType([T.StructField("id", docs.schema[id_col].dataType), *_ROWS]))
     rows = materialize(rows, "exact-rows")
     entries = rows.where("body is not null").select("key", "rep", "body")
     # leading bits of the key as an unsigned number
@@ -146,8 +146,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # a task owns a range of keys: its buckets, or where one bucket holds all, parts of it
     owned = entries.repartitionByRange(parts, "bucket", "key").sortWithinPartitions("key")
     chained = materialize(owned.select("key", "rep", "body").mapInArrow(_owner, "rep string, key long, link int"), "exact-chains")
-    of_row = rows.select("id", "rep", "n_points", "sha").join(chained, "rep")
-    best = F.max_by("id", F.struct("n_points", -F.coalesce("id", F.lit(2**63 - 1)))).alias("keep_id")
-    groups = of_row.groupBy("key", "link").agg(best, F.count("*").alias("group_size"))
-    out = of_row.join(groups, ["key", "link"])
+    # a text's rows of one task come to one row before any join, so copies never share a join key beyond a task's
+    best = F.min(F.struct((-F.col("n_points")).alias("shorter"), F.col("id").isNull().alias("no_id"), "id"))
+    per_rep = rows.groupBy("rep").agg(best.alias("best"), F.count("*").alias("n")).join(chained, "rep")
+    groups = per_rep.groupBy("key", "link").agg(F.min("best").alias("best"), F.sum("n").alias("group_size"))
+    of_rep = materialize(chained.join(groups, ["key", "link"]).select("rep", F.col("best.id").alias("keep_id"), "group_size"), "exact-groups")
+    out = rows.select("id", "rep", "sha").join(of_rep, "rep")
     return out.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
