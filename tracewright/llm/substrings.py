@@ -247,8 +247,9 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     found = materialize(texts.mapInArrow(_index_blocks(window, ANCHOR, piece_bytes), _BLOCK.format(id=id_type)), "substring-blocks")
     by_anchor = found.groupBy("anchor").agg(F.min("doc_id").alias("first_of_anchor"), F.max("doc_id").alias("last_of_anchor"), F.min("b1").alias("b1_lo"), F.max("b1").alias("b1_hi"), F.min("b2").alias("b2_lo"), F.max("b2").alias("b2_hi"))
     shared = by_anchor.where("first_of_anchor < last_of_anchor").select("anchor", "first_of_anchor", F.expr("b1_lo < b1_hi or b2_lo < b2_hi").alias("several"))
-    met = materialize(found.join(shared, "anchor"), "substring-met")
-    firsts = met.groupBy("anchor", "b1", "b2").agg(F.min("doc_id").alias("first"))
+    # groups are written before rows are joined to them: a join of two plain shuffles can split a hot key
+    met = materialize(found.join(materialize(shared, "substring-anchors"), "anchor"), "substring-met")
+    firsts = materialize(met.groupBy("anchor", "b1", "b2").agg(F.min("doc_id").alias("first")), "substring-firsts")
     parsed = met.join(firsts, ["anchor", "b1", "b2"])
     parsed = materialize(parsed.select("doc_id", "row", "lo", "hi", "several", (F.col("first") < F.col("doc_id")).alias("copied")), "substring-parsed")
     whole = parsed.where("copied").select("doc_id", "row", "lo", (F.col("hi") + window).alias("hi"))
@@ -256,7 +257,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     edges = parsed.where("not copied and several").groupBy("doc_id", "row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     edge_texts = texts.join(edges, ["doc_id", "row"])
     seen = materialize(edge_texts.select("doc_id", "row", "text", "spans").mapInArrow(_windows(window, piece_bytes), f"doc_id {id_type}, row long, start int, w1 long, w2 long"), "substring-windows")
-    again = seen.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    again = seen.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("w1", "w2", "first")
+    again = materialize(again, "substring-again")
     single = seen.join(again, ["w1", "w2"]).where("first < doc_id").select("doc_id", "row", F.col("start").alias("lo"), (F.col("start") + window).alias("hi"))
     spans = whole.unionByName(single).groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).agg(F.collect_set(F.struct("lo", "hi")).alias("__spans"))
 
