@@ -160,6 +160,11 @@ def parse_datetime(lex: Column) -> Column:
     return F.when(s.rlike(form), let(let(parts, moment), made))
 
 
+def require_datetime(lex: Column) -> Column:
+    """parse_datetime(), but text that is no date-time raises when it is computed; null stays null."""
+    return F.when(lex.isNotNull(), F.coalesce(parse_datetime(lex), F.raise_error(F.concat(F.lit("no date and time: "), lex)).cast(TIME)))
+
+
 def float_text(x: Column) -> Column:
     """Shortest text of a double as in the textual notation: plain for decimal exponents
     from -4 to 15, else like 1e+16, with two exponent digits at least. Digits are the JVM's,

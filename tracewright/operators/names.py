@@ -62,6 +62,11 @@ def resolve(text: Column, own: Column, parent: Column | None = None) -> Column:
     return F.when((text != "") & ~F.startswith(text, F.lit("_:")), made).cast(V.NAME)
 
 
+def require(text: Column, own: Column, parent: Column | None = None) -> Column:
+    """resolve(), but a name that nothing explains raises when it is computed; null stays null."""
+    return F.when(text.isNotNull(), F.coalesce(resolve(text, own, parent), F.raise_error(F.concat(F.lit("unknown name "), text)).cast(V.NAME)))
+
+
 def first_match(uris: DataFrame, namespaces: DataFrame, uri_col: str = "uri") -> DataFrame:
     """uris with ns_prefix and local of the first registered namespace that the uri starts with; null without one."""
     return _match(uris, namespaces, uri_col, lambda n: F.min_by(n, "seq"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values as V
-from ..functions.catalog import KINDS, argument_names, time_names
+from ..functions.catalog import KINDS, PROV, argument_names, time_names
 
 ARGS = ("arg1", "arg2", "arg3", "arg4", "arg5")
 TIMES = ("t1", "t2")
@@ -156,10 +156,25 @@ def set_time(records: DataFrame, start: Column | None = None, end: Column | None
 
 
 def add_attributes(records: DataFrame, *pairs: tuple[Column, Column]) -> DataFrame:
-    """Records with more attributes after their own; of equal ones the first stays."""
+    """Records with more attributes after their own; of equal ones the first stays. Formal
+    attributes of other kinds can be added like any; repeated_formals() tells where one has
+    several values."""
     return records.withColumn("attrs", V.distinct_attributes(F.concat("attrs", V.attributes(*pairs).cast(V.ATTRS))))
 
 
+def repeated_formals(records: DataFrame) -> DataFrame:
+    """(doc_id, scope, seq, kind, detail) of records that have several values of a formal
+    attribute of the data model, among their attributes or beside their own formal value."""
+    own = [(k, c, n) for k in KINDS for c, n in (*zip(ARGS, argument_names(k)), *zip(TIMES, time_names(k)))]
+    cells = [F.struct(F.lit(n).alias("name"), F.when(F.col("rtype") == k, F.col(c)["uri"] if c in ARGS else F.concat(F.when(F.col(c)["aware"], "A").otherwise("N"), F.col(c)["micros"].cast("string"))).alias("value")) for k, c, n in own]
+    formal = sorted({PROV + n for _, _, n in own})
+    more = F.transform(F.filter("attrs", lambda a: a["name"]["uri"].isin(formal)), lambda a: F.struct(F.substr(a["name"]["uri"], F.lit(len(PROV) + 1)).alias("name"), a["value"]["cmp"].alias("value")))
+    some = records.where(F.size(more) > 0)
+    each = some.select("doc_id", "scope", "seq", "rtype", F.explode(F.concat(F.filter(F.array(*cells), lambda c: c["value"].isNotNull()), more)).alias("c"))
+    found = each.groupBy("doc_id", "scope", "seq", "rtype", F.col("c.name").alias("detail")).agg(F.count_distinct("c.value").alias("n")).where("n > 1")
+    return found.select("doc_id", "scope", "seq", F.lit("repeated").alias("kind"), "detail")
+
+
 def add_asserted_type(records: DataFrame, kind: Column) -> DataFrame:
     return add_attributes(records, (V.prov("type"), V.v_qname(kind)))
 

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import ProvenanceError
 from ..operators import triples
 from ..operators.records import COLUMNS
 from . import statements
@@ -15,7 +16,7 @@ from .parse_turtle import graph_names, terms, turtle
 from .parse_xml import prov_xml
 
 
-class UnknownFormat(Exception):
+class UnknownFormat(ProvenanceError):
     """No reader or writer of that name."""
 
 

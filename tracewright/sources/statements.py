@@ -19,6 +19,7 @@ from ..functions import values as V
 from ..functions.catalog import ELEMENTS, KINDS, PROV, XSD, argument_names, time_names
 from ..operators import records as R
 from ..operators.names import resolve, tables
+from ..operators.triples import lexical_error
 
 #: what: binding (attr is the prefix, lex the uri), bundle (scope is its name), attribute, statement (one without attributes) or error (lex the message).
 FLAT = "doc_id string, scope string, seq bigint, what string, rtype string, id string, attr string, pos bigint, form string, lex string, datatype string, lang string"
@@ -89,6 +90,32 @@ def unresolved(flat: DataFrame) -> DataFrame:
     return one.select("doc_id", "scope", "seq", bad.alias("text")).where("text is not null").distinct()
 
 
+def violations(flat: DataFrame) -> DataFrame:
+    """(doc_id, scope, seq, kind, detail): what to_records() leaves out or takes as something
+    else. Kinds: text (unreadable), identifier (an element without one), name (an identifier of an
+    element, an attribute, or a formal value that no namespace explains), time (a formal time
+    that is none), value (a typed number, truth value or time that is none, kept as a
+    literal), repeated (a formal attribute with several values, of which the first stays)."""
+    texts = flat.where("what = 'error'").select("doc_id", "scope", "seq", F.lit("text").alias("kind"), F.col("lex").alias("detail"))
+    rows = _resolved(flat)
+    element = F.col("rtype").isin(*ELEMENTS)
+    local = F.when(F.startswith(F.col("name.uri"), F.lit(PROV)), F.substr(F.col("name.uri"), F.lit(len(PROV) + 1)))
+    formal, is_time = local.isin(*_FORMAL_NAMES), local.isin(*_TIME_NAMES)
+    attribute, dt = F.col("what") == "attribute", F.col("type.uri")
+    told = lambda kind, detail: F.struct(F.lit(kind).alias("kind"), detail.alias("detail"))
+    checks = [
+        F.when((F.col("what") == "statement") & element & F.col("id").isNull(), told("identifier", F.col("rtype"))),
+        F.when((F.col("what") == "statement") & element & F.col("id").isNotNull() & F.col("rid").isNull(), told("name", F.col("id"))),
+        F.when(attribute & F.col("name").isNull(), told("name", F.col("attr"))),
+        F.when(attribute & formal & ~is_time & F.col("ref").isNull(), told("name", F.col("lex"))),
+        F.when(attribute & is_time & V.parse_datetime(F.col("lex")).isNull(), told("time", F.col("lex"))),
+        F.when(attribute & (F.col("form") == "typed") & ~F.coalesce(formal, F.lit(False)), told("value", F.when(lexical_error(F.col("lex"), dt).isNotNull(), F.col("lex")))),
+    ]
+    single = rows.select("doc_id", "scope", "seq", F.explode(F.filter(F.array(*checks), lambda c: c["detail"].isNotNull())).alias("c")).select("doc_id", "scope", "seq", "c.*")
+    repeated = rows.where(attribute & formal).groupBy("doc_id", "scope", "seq", local.alias("detail")).agg(F.count_distinct(F.coalesce("ref.uri", "lex")).alias("n")).where("n > 1")
+    return texts.unionByName(single).unionByName(repeated.select("doc_id", "scope", "seq", F.lit("repeated").alias("kind"), "detail"))
+
+
 def _resolved(flat: DataFrame) -> DataFrame:
     spaces = tables(bindings(flat))
     own = spaces.withColumnRenamed("own", "own_ns")
