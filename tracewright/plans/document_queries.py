@@ -266,3 +266,83 @@ def _register_kinds() -> None:
 
 
 _register_kinds()
+
+
+@query("SELECT 'nation' || c_nationkey AS doc_id, rtype, count(*) AS n FROM customer, (VALUES ('Agent'), ('Delegation')) v(rtype) GROUP BY ALL UNION ALL SELECT 'nation' || s_nationkey, 'Supplier', count(*) FROM supplier GROUP BY ALL")
+def format_source(spark, sf):
+    """Each nation's document as a file, written and read through the data source."""
+    import uuid
+
+    from ..operators.scratch import shared_dir
+    from ..sources import formats, write
+
+    formats.register(spark)
+    records, spaces = _nation_documents(spark, sf)
+    path = f"{shared_dir(spark)}/nations-{uuid.uuid4().hex}"
+    write.serialize(records, "json", spaces).write.format("provenance").option("notation", "json").mode("append").save(path)
+    back = formats.records(spark.read.format("provenance").option("notation", "json").load(path))
+    kind = F.when(F.col("scope") != "", "Supplier").otherwise(F.col("rtype"))
+    return back.groupBy("doc_id", kind.alias("rtype")).agg(F.count("*").alias("n"))
+
+
+def _flat_events(spark, sf):
+    """Events as flat rows of a document for each type: an activity with times that are none,
+    attributes of unknown prefixes and bad numbers; usages of two things."""
+    t = lift.table(spark, sf, "events")
+    k = F.col("event_id")
+    key = k.cast("string")
+    cell = lambda x: (F.lit(x) if x is None or isinstance(x, (str, int)) else x)
+
+    def row(when, what, rtype, seq, pos, id=None, attr=None, form=None, lex=None, datatype=None):
+        cells = {"what": what, "rtype": rtype, "seq": seq.cast("long"), "id": id, "attr": attr, "pos": pos, "form": form, "lex": lex, "datatype": datatype}
+        types = {"seq": "long", "pos": "long"}
+        return F.when(when, F.struct(*[cell(v).cast(types.get(c, "string")).alias(c) for c, v in cells.items()]))
+
+    every = F.lit(True)
+    event, usage = k * 2, k * 2 + 1
+    made = F.array(
+        row(every, "statement", "Activity", event, 0, id=F.concat(F.lit("ex:e"), key)),
+        row(every, "attribute", "Activity", event, 1, id=F.concat(F.lit("ex:e"), key), attr="prov:startTime", form="str", lex=F.when(k % 4 == 0, F.lit("yesterday")).otherwise("2020-01-01T00:00:00")),
+        row(k % 5 == 0, "attribute", "Activity", event, 2, id=F.concat(F.lit("ex:e"), key), attr=F.concat(F.lit("zz:k"), F.col("user_id").cast("string")), form="str", lex="v"),
+        row(k % 7 < 2, "attribute", "Activity", event, 3, id=F.concat(F.lit("ex:e"), key), attr="ex:n", form="typed", lex=F.when(k % 7 == 0, F.concat(F.lit("x"), key)).otherwise(key), datatype="xsd:int"),
+        row(every, "statement", "Usage", usage, 0),
+        row(every, "attribute", "Usage", usage, 1, attr="prov:activity", form="str", lex=F.concat(F.lit("ex:e"), key)),
+        row(every, "attribute", "Usage", usage, 2, attr="prov:entity", form="str", lex="ex:thing"),
+        row(k % 3 == 0, "attribute", "Usage", usage, 3, attr="prov:entity", form="str", lex=F.concat(F.lit("ex:u"), F.col("user_id").cast("string"))),
+    )
+    rows = t.select(F.col("event_type").alias("doc_id"), F.lit("").alias("scope"), F.inline(F.array_compact(made)))
+    spaces = t.select(F.col("event_type").alias("doc_id")).distinct().select("doc_id", F.lit("").alias("scope"), F.lit("binding").alias("what"), F.lit("ex").alias("attr"), F.lit(0).cast("long").alias("pos"), F.lit(f"{lift.BASE}ex/").alias("lex"))
+    return rows.unionByName(spaces, allowMissingColumns=True).withColumn("lang", F.lit(None).cast("string"))
+
+
+@query("""
+SELECT event_type AS doc_id, CAST(event_id * 2 AS BIGINT) AS seq, 'time' AS kind, 'yesterday' AS detail FROM events WHERE event_id % 4 = 0
+UNION ALL SELECT event_type, event_id * 2, 'name', 'zz:k' || user_id FROM events WHERE event_id % 5 = 0
+UNION ALL SELECT event_type, event_id * 2, 'value', 'x' || event_id FROM events WHERE event_id % 7 = 0
+UNION ALL SELECT event_type, event_id * 2 + 1, 'repeated', 'entity' FROM events WHERE event_id % 3 = 0
+""")
+def statement_violations(spark, sf):
+    """Bad times, unknown names, bad numbers and repeated formal attributes, by document and place."""
+    from ..sources import statements
+
+    return statements.violations(_flat_events(spark, sf)).select("doc_id", "seq", "kind", "detail")
+
+
+@query(f"""
+SELECT CAST(o_orderkey AS BIGINT) AS seq, 'repeated' AS kind, 'agent' AS detail FROM orders WHERE o_custkey % 5 <> o_orderkey % 5
+""")
+def repeated_formals(spark, sf):
+    """Attributions that got their agent as an attribute once more, the same or another one."""
+    t = lift.table(spark, sf, "orders")
+    one = R.attribution(t, F.col("o_orderkey"), lift.name("order", "o_orderkey"), lift.ex((F.col("o_custkey") % 5).cast("string")))
+    own = t.select(F.col("o_orderkey").cast("long").alias("seq"), (F.col("o_orderkey") % 5).cast("string").alias("other"))
+    joined = one.join(own, "seq")
+    more = R.add_attributes(joined, (V.prov("agent"), V.v_qname(lift.ex(F.col("other")))))
+    return R.repeated_formals(more).select("seq", "kind", "detail")
+
+
+@query(f"SELECT k, base FROM (SELECT p_partkey AS k, CASE p_partkey % 4 WHEN 0 THEN 'Plan' WHEN 1 THEN 'Person' WHEN 2 THEN 'Revision' ELSE p_type END AS kind FROM part), LATERAL (SELECT CASE kind WHEN 'Plan' THEN 'Entity' WHEN 'Person' THEN 'Agent' WHEN 'Revision' THEN 'Derivation' END AS base)")
+def base_type_of_parts(spark, sf):
+    """Kinds of parts by the subtype that they are told as; null for what is none."""
+    kind = F.when(F.col("p_partkey") % 4 == 0, "Plan").when(F.col("p_partkey") % 4 == 1, "Person").when(F.col("p_partkey") % 4 == 2, "Revision").otherwise(F.col("p_type"))
+    return lift.table(spark, sf, "part").select(F.col("p_partkey").alias("k"), V.base_kind(kind).alias("base"))
