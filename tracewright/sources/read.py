@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..errors import ProvenanceError
 from ..operators import triples
 from ..operators.records import COLUMNS
+from ..operators.scratch import settle
 from . import statements
 from .parse_json import prov_json, prov_jsonld
 from .parse_turtle import graph_names, terms, turtle
@@ -113,11 +114,13 @@ def from_content(documents: DataFrame, format: str | None = None, text_col: str
     if name is not None and name != "rdf" and name not in PARSERS:
         raise UnknownFormat(name)
     if name == "rdf":
-        return triples.from_quads(quads_of(documents, text_col), prefixes_of(documents, text_col))
+        # quads are joined with each other in several ways: texts are parsed once
+        return triples.from_quads(settle(quads_of(documents, text_col), "quads"), prefixes_of(documents, text_col))
     flat = statements.flatten_documents(documents, PARSERS[name] if name else _any, text_col)
-    out = statements.to_records(flat)
     if name:
-        return out
+        return statements.to_records(flat)
+    flat = settle(flat, "flat")
+    out = statements.to_records(flat)
     other = documents.join(statements.errors(flat).select("doc_id"), "doc_id", "left_semi")
     return out.unionByName(from_content(other, "rdf", text_col).select(*COLUMNS))
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.catalog import PROV, XSD
 from ..operators import triples
 from ..operators.names import TABLE, tables
+from ..operators.scratch import settle
 
 #: Local names that need no escape, and prefixes that can be declared.
 _LOCAL = r"^[A-Za-z0-9_](?:[A-Za-z0-9_-]*[A-Za-z0-9_])?$"
@@ -59,6 +60,8 @@ def trig_text(quad_rows: DataFrame, namespaces: DataFrame | None = None, bundles
     q = quad_rows.join(spaces, "doc_id").withColumn("scope", F.coalesce("graph", F.lit("")))
     verb = F.when(F.col("p") == triples.RDF + "type", "a").otherwise(iri_name(F.col("p"), F.col("known")))
     q = q.select("doc_id", "scope", F.col("s.kind").alias("kind"), F.col("s.lex").alias("lex"), _term(F.col("s"), F.col("known")).alias("subject"), verb.alias("verb"), _term(F.col("o"), F.col("known")).alias("object"), F.when(F.col("o.kind") == "blank", F.col("o.lex")).alias("points"))
+    # read in several ways below, so it is made once
+    q = settle(q, "terms")
     at = ["doc_id", "scope"]
     mentions = q.where("points is not null").groupBy(*at, F.col("points").alias("lex")).agg(F.count("*").alias("n")).where("n = 1")
     leaves = q.where("kind = 'blank'").groupBy(*at, "lex").agg(F.count("points").alias("n")).where("n = 0")
