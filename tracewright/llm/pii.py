@@ -156,32 +156,64 @@ def _covered(nodes: list[tuple[int, int]], spans: list[Span]) -> list[int]:
     return out
 
 
-def fit(texts: list[str], steps: int = 300, rate: float = 0.05) -> dict:
-    """Weights by pseudo-likelihood: each node's label given its neighbours' labels."""
-    field, n_labels = Field(texts), 1 + len(KINDS)
-    p = {"w": np.zeros((_N_FEATURES, n_labels)), "chain": np.zeros((n_labels, n_labels)), "skip": SKIP_PRIOR * np.eye(n_labels)}
-    prior = {k: x.copy() for k, x in p.items()}
-    if not len(field.given):
-        return p
-    y = np.eye(n_labels)[field.given]
+#: What learning needs of a node: a bit for each feature, its label, whether that is known, and how many neighbours of each label it has (see _neighbours).
+EXAMPLE = ("x", "y", "known", "near")
+
+#: Bits for a count of neighbours: a word has at most two repeats before it and two after it.
+_COUNT_BITS = 2
+
+
+def examples(texts: list[str]) -> list[np.ndarray]:
+    """The columns of EXAMPLE for all nodes of some texts."""
+    field = Field(texts)
+    y = np.eye(1 + len(KINDS), dtype=np.int64)[field.given]
     # a repeat of something found that no pattern covers is unknown, not known to be nothing
-    known = np.ones((len(y), 1))
+    known = np.ones(len(y), np.int64)
     for a, b in (field.skip.T, field.skip[:, ::-1].T):
         known[b[(field.given[a] > 0) & (field.given[b] == 0)]] = 0
-    m, v = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
-    near = {}
-    for name, edges in (("chain", field.chain), ("skip", field.skip)):
+    near = []
+    for edges in (field.chain, field.skip):
         fore, back = np.zeros_like(y), np.zeros_like(y)
         np.add.at(fore, edges[:, 1], y[edges[:, 0]])  # labels of earlier neighbours
         np.add.at(back, edges[:, 0], y[edges[:, 1]])
-        near[name] = fore, back
+        near += [fore, back]
+    x = field.x.astype(np.int64) @ (1 << np.arange(_N_FEATURES, dtype=np.int64))
+    counts = np.concatenate(near, axis=1)
+    return [x, field.given, known, counts @ (1 << _COUNT_BITS * np.arange(counts.shape[1], dtype=np.int64))]
+
+
+def _neighbours(near: np.ndarray) -> dict:
+    """Counts of labels before and after each node, by the kind of edge."""
+    n_labels = 1 + len(KINDS)
+    counts = (near[:, None] >> _COUNT_BITS * np.arange(4 * n_labels)) & ((1 << _COUNT_BITS) - 1)
+    one, two, three, four = counts.astype(np.float64).reshape(len(near), 4, n_labels).transpose(1, 0, 2)
+    return {"chain": (one, two), "skip": (three, four)}
+
+
+def fit(texts: list[str]) -> dict:
+    """Weights learned from whole texts."""
+    return fit_examples(*examples(texts))
+
+
+def fit_examples(x: np.ndarray, y: np.ndarray, known: np.ndarray, near: np.ndarray, times: np.ndarray | None = None, steps: int = 300, rate: float = 0.05) -> dict:
+    """Weights by pseudo-likelihood: each node's label given its neighbours' labels; an
+    example counts `times` times."""
+    n_labels = 1 + len(KINDS)
+    p = {"w": np.zeros((_N_FEATURES, n_labels)), "chain": np.zeros((n_labels, n_labels)), "skip": SKIP_PRIOR * np.eye(n_labels)}
+    prior = {k: v.copy() for k, v in p.items()}
+    if not len(x):
+        return p
+    times = np.ones(len(x)) if times is None else times.astype(np.float64)
+    x, y, near = (x[:, None] >> np.arange(_N_FEATURES) & 1).astype(np.float64), np.eye(n_labels)[y], _neighbours(near)
+    weight = (known * times / times.sum())[:, None]
+    m, v = {k: np.zeros_like(c) for k, c in p.items()}, {k: np.zeros_like(c) for k, c in p.items()}
     for step in range(1, steps + 1):
-        logit = field.x @ p["w"]
+        logit = x @ p["w"]
         for name, (fore, back) in near.items():
             logit = logit + fore @ p[name] + back @ p[name].T
         q = np.exp(logit - logit.max(axis=1, keepdims=True))
-        d = known * (q / q.sum(axis=1, keepdims=True) - y) / len(y)
-        g = {"w": field.x.T @ d + 1e-4 * p["w"]}
+        d = weight * (q / q.sum(axis=1, keepdims=True) - y)
+        g = {"w": x.T @ d + 1e-4 * p["w"]}
         for name, (fore, back) in near.items():
             g[name] = fore.T @ d + (back.T @ d).T + 1e-4 * (p[name] - prior[name])
         for k in p:
@@ -256,12 +288,19 @@ def spans_text(spans: list[Span]) -> str:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = TRAIN_DOCS) -> dict:
-    """Weights fitted on at most `limit` documents, the same for the same table."""
-    one = docs.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    one = one.where("id is not null and text rlike '[0-9@]'").withColumn("h", F.xxhash64("id"))
-    edge = one.select("h").orderBy("h").limit(limit).agg(F.max("h")).first()[0]
-    rows = one.where(F.col("h") <= edge).limit(2 * limit).collect() if edge is not None else []
-    return fit([r.text for r in sorted(rows, key=lambda r: (r.h, r.text))[:limit]])
+    """Weights fitted on at most `limit` documents, the same for the same table. Rows with
+    equal id and text count as one; null ids are ids. The executors make the examples and count
+    equal ones, so the driver gets a row for each kind of word and neighbours, not texts."""
+    one = docs.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    one = one.where("text rlike '[0-9@]'").withColumn("h", F.xxhash64("id", "text"))
+    edge = one.select("h").distinct().orderBy("h").limit(limit).agg(F.max("h")).first()[0]
+    if edge is None:
+        return fit([])
+    picked = one.where(F.col("h") <= edge).dropDuplicates(["h"]).select("text")
+    fields = [T.StructField("made", T.ArrayType(T.ArrayType(T.LongType())))]
+    made = annotate(picked, lambda texts: {"made": [np.stack(examples([t]), axis=1).tolist() for t in texts]}, fields, keep=[])
+    rows = made.select(F.explode("made").alias("e")).groupBy(*[F.col("e")[i].alias(c) for i, c in enumerate(EXAMPLE)]).agg(F.count("*").alias("times")).collect()
+    return fit_examples(*np.array(sorted(rows), np.int64).reshape(-1, 1 + len(EXAMPLE)).T)
 
 
 def find(docs: DataFrame, model: dict, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
