@@ -8,6 +8,7 @@ picks each text's highest window, then learns the text's label on that window.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
@@ -24,6 +25,10 @@ LENGTH, STRIDE = 64, 32
 #: Labelled texts that are learned from, whole: so many of each label with the smallest hash of their id.
 TRAIN_PER_LABEL = 1000
 
+#: Windows of a text that are learned from: all of a text that has no more, else those with the smallest hash;
+#: and characters of a window, so that what reaches the driver is bounded. Scores come from all windows.
+TRAIN_WINDOWS, TRAIN_CHARS = 128, 4096
+
 #: Share of the distinct words of a step whose own embedding is left out, so that character n-grams learn to carry words that were never seen;
 #: and share of those without any input, as words of unseen n-grams are.
 WORD_DROPOUT, BLANK = 0.5, 0.35
@@ -79,16 +84,39 @@ def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text, first, np.minimum(LENGTH, counts[text] - first)
 
 
+def cut_windows(text: str | None) -> list[str]:
+    """The windows of a text that are learned from, in order, as words joined by a space."""
+    words = _WORD.findall(text.lower()) if text else []
+    _, first, size = windows(np.array([len(words)]))
+    cut = [" ".join(words[i : i + n]) for i, n in zip(first.tolist(), size.tolist())]
+    cut = [w for w in cut if len(w) <= TRAIN_CHARS]
+    if len(cut) <= TRAIN_WINDOWS:
+        return cut
+    picked = sorted(range(len(cut)), key=lambda i: (hashlib.md5(cut[i].encode("utf-8", "surrogatepass")).digest(), i))[:TRAIN_WINDOWS]
+    return [cut[i] for i in sorted(picked)]
+
+
 class Batch:
     """Texts as window matrices: ids (LENGTH x windows) into a table of their distinct words; the last id is padding."""
 
     def __init__(self, texts: list):
         found = [_WORD.findall(t.lower()) if t else [] for t in texts]
         counts = np.fromiter(map(len, found), np.int64, len(found))
-        codes, words = pd.factorize(np.array([w for ws in found for w in ws], dtype=object))
-        self.words = list(words)
-        self.text, first, self.size = windows(counts)
-        starts = (np.cumsum(counts) - counts)[self.text] + first
+        text, first, size = windows(counts)
+        self._fill([w for ws in found for w in ws], text, (np.cumsum(counts) - counts)[text] + first, size)
+
+    @classmethod
+    def of_windows(cls, cuts: list[list[str]]) -> Batch:
+        """A batch of windows that cut_windows() made of each text."""
+        batch, found = cls.__new__(cls), [w.split(" ") for own in cuts for w in own]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        text = np.repeat(np.arange(len(cuts)), np.fromiter(map(len, cuts), np.int64, len(cuts)))
+        batch._fill([w for ws in found for w in ws], text, np.cumsum(size) - size, size)
+        return batch
+
+    def _fill(self, every: list[str], text: np.ndarray, starts: np.ndarray, size: np.ndarray) -> None:
+        codes, words = pd.factorize(np.array(every, dtype=object))
+        self.words, self.text, self.size = list(words), text, size
         place = np.arange(LENGTH)[:, None]
         pad = place >= self.size
         codes = np.append(codes, len(words))
@@ -218,12 +246,17 @@ def start(batch: Batch, label: np.ndarray, rng: np.random.Generator) -> dict:
 
 
 def fit(texts: list[str], labels: list[int], steps: int = 100, rate: float = 0.01, seed: int = 5) -> dict:
-    """Parameters learned from texts and their labels (0 or 1) by Adam in `steps` steps or
-    a few more, in five passes or more; the same for the same input."""
-    size = max(16, min(128, len(texts) // 20))
-    epochs = max(5, -(-steps * size // max(1, len(texts))))
+    """Parameters learned from texts and their labels (0 or 1), as fit_windows() does."""
+    return fit_windows([cut_windows(t) for t in texts], labels, steps, rate, seed)
+
+
+def fit_windows(cuts: list[list[str]], labels: list[int], steps: int = 100, rate: float = 0.01, seed: int = 5) -> dict:
+    """Parameters learned from the windows and the label (0 or 1) of each text by Adam in
+    `steps` steps or a few more, in five passes or more; the same for the same input."""
+    size = max(16, min(128, len(cuts) // 20))
+    epochs = max(5, -(-steps * size // max(1, len(cuts))))
     rng = np.random.default_rng(seed)
-    batch, label = Batch(texts), np.asarray(labels, np.int64)
+    batch, label = Batch.of_windows(cuts), np.asarray(labels, np.int64)
     p = start(batch, label, rng)
     if not len(batch.text):
         return p
@@ -274,18 +307,20 @@ def score_texts(p: dict, texts: list) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = TRAIN_PER_LABEL) -> dict | None:
     """A network fitted on at most per_label texts of each label, or None without texts
     of both. Rows with a null id, text or label, or another label than 0 and 1, are not
-    learned from; of several texts with one id the first in code point order is."""
+    learned from; of several texts with one id the first in code point order is. The
+    executors cut the windows, so no whole text reaches the driver."""
     known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label")).where("id is not null and label in (0, 1)")
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("id is not null and text is not null")
     known = known.distinct().withColumn("h", F.xxhash64(F.col("id").cast("string")))
     # twice as many as are used, as some may lack a text
     no, yes = (known.where(F.col("label") == value).orderBy("h", "id").limit(2 * per_label) for value in (0, 1))
     joined = texts.join(F.broadcast(no.union(yes)), "id").groupBy("id", "h", "label").agg(F.min("text").alias("text"))
-    rows = sorted(joined.collect(), key=lambda r: (r.h, r.id, r.text))
+    cut = annotate(joined, lambda some: {"cut": [cut_windows(t) for t in some]}, [T.StructField("cut", T.ArrayType(T.StringType()))], keep=["id", "h", "label"])
+    rows = sorted(cut.collect(), key=lambda r: (r.h, r.id, r.label))
     rows = [r for value in (0, 1) for r in [r for r in rows if r.label == value][:per_label]]
     if len({r.label for r in rows}) < 2:
         return None
-    return fit([r.text for r in rows], [r.label for r in rows])
+    return fit_windows([r.cut for r in rows], [r.label for r in rows])
 
 
 def score(docs: DataFrame, model: dict | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
