@@ -9,6 +9,7 @@ from ..functions import values as V
 from ..functions.catalog import BASE_KIND, PROV
 from ..operators import names, render, select, setops, triples
 from ..operators import records as R
+from ..sources.write import instances
 from . import lift
 from .queries import LIFTS, LINE, PART_OF_LINE, iso, query, uri
 
@@ -96,9 +97,16 @@ def parse_xsd_datetime(spark, sf):
 _KINDS = sorted(BASE_KIND) + ["Nothing"]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', {'NULL' if k not in BASE_KIND else repr(BASE_KIND[k])})" for k in _KINDS) + ") t(kind, base)")
+@query(f"""
+WITH line AS (SELECT l_orderkey AS k, l_linenumber AS line, (l_orderkey + l_linenumber) % {len(_KINDS)} AS i FROM lineitem),
+kinds AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{k}', {'NULL' if k not in BASE_KIND else repr(BASE_KIND[k])})" for i, k in enumerate(_KINDS))}) t(i, kind, base))
+SELECT k, line, kind, base FROM line JOIN kinds USING (i)
+""")
 def base_type(spark, sf):
-    return spark.createDataFrame([(k,) for k in _KINDS], "kind string").select("kind", V.base_kind(F.col("kind")).alias("base"))
+    """Each line of an order as a statement of some kind or subtype, and the kind that it is based on."""
+    of = F.array(*map(F.lit, _KINDS))[((F.col("l_orderkey") + F.col("l_linenumber")) % len(_KINDS)).cast("int")]
+    lines = lift.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"), of.alias("kind"))
+    return lines.withColumn("base", V.base_kind(F.col("kind")))
 
 
 _NS = [("com", "http://www."), ("ex", "http://example.org/"), ("http", "http://"), ("https", "https://"), ("blog", "https://blog."), ("any", "http")]
@@ -164,14 +172,15 @@ def anon_ids(spark, sf):
     return render.anonymous_ids(one, setops.record_key(one)).select("seq", "anon")
 
 
-@query(f"""
-SELECT {uri("cust", "o_custkey")} AS id, count(*) AS n, min(o_orderkey)::BIGINT AS first FROM orders GROUP BY 1
+@query("""
+SELECT 'activity' AS keyword, 'cust:' || o_custkey AS id, count(*) AS n, count(DISTINCT o_orderstatus) AS bodies, min(o_orderkey)::BIGINT AS first FROM orders GROUP BY 2
 """)
 def json_group_instances(spark, sf):
-    """Statements of one keyword and identifier are filed together."""
+    """Statements of one keyword and identifier are filed together, as the JSON writer does it."""
     t = lift.table(spark, sf, "orders")
-    one = R.activity(t, F.col("o_orderkey"), lift.name("cust", "o_custkey"))
-    return one.groupBy(F.col("id.uri").alias("id")).agg(F.count("*").alias("n"), F.min("seq").alias("first"))
+    one = R.activity(t, F.col("o_orderkey"), lift.name("cust", "o_custkey"), attrs=[(lift.ex("status"), V.v_str(F.col("o_orderstatus")))])
+    filed = instances(one).groupBy("keyword", F.col("key").alias("id"))
+    return filed.agg(F.count("*").alias("n"), F.countDistinct("body").alias("bodies"), F.min("seq").alias("first"))
 
 
 @query("""
