@@ -69,3 +69,13 @@ def test_constructors_check(spark):
     with pytest.raises(ValueError):
         R.record(t, "Usage", F.col("k"), agent=name(F.lit("a")))
     assert R.entity(t, F.col("k"), name(F.lit(None).cast("string"))).isEmpty()
+
+
+def test_often_asserted_identifier(spark):
+    """Attributes come in the order of their first assertion, once each; a record without attributes counts, too."""
+    t = spark.range(3000).select(F.col("id").alias("k")).repartition(5)
+    r = R.entity(t, F.col("k"), name(F.lit("hot")), attrs=[(name(F.lit("z")), V.v_str((F.col("k") % 3).cast("string"))), (name(F.lit("a")), V.v_str((F.col("k") % 2).cast("string")))])
+    r = r.unionByName(R.entity(t.where("k < 2"), F.col("k") - 5, name(F.lit("hot")))).unionByName(R.entity(t.where("k = 7"), F.col("k"), name(F.lit("bare"))))
+    got = {x.id.local: (x.seq, [(a.name.local, a.value.lex) for a in x.attrs]) for x in unify.unify(r).collect()}
+    assert got == {"hot": (-5, [("z", "0"), ("a", "0"), ("z", "1"), ("a", "1"), ("z", "2")]), "bare": (7, [])}
+    assert {x.uri: x.n for x in unify._merged(r).select("uri", "n").collect()} == {"http://e/hot": 3002, "http://e/bare": 1}

@@ -18,15 +18,28 @@ def _cmp(column: str) -> Column:
 
 
 def _merged(records: DataFrame) -> DataFrame:
-    """Identified records by identifier and kind, with `conflicts`, the formal columns that hold different values."""
-    first = [F.expr(f"min_by({c}, seq) filter (where {c} is not null)").alias(c) for c in (*ARGS, *TIMES)]
-    clash = [F.when(F.min(_cmp(c)) != F.max(_cmp(c)), F.lit(c)) for c in (*ARGS, *TIMES)]
-    lists = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("seq", "attrs"))), lambda s: s["attrs"]))
-    one = records.where("id is not null")
-    out = one.groupBy("doc_id", "scope", F.col("id.uri").alias("uri"), "rtype").agg(
-        F.min("seq").alias("seq"), F.min_by("id", "seq").alias("id"), *first, lists.alias("attrs"), F.array_compact(F.array(*clash)).alias("conflicts"), F.count("*").alias("n")
+    """Identified records by identifier and kind, with `conflicts`, the formal columns that hold different values.
+
+    Attributes are dealt and made distinct one by one before they are collected, so an identifier that is
+    asserted very often costs its last task one row for each distinct attribute, not one for each assertion."""
+    key = ["doc_id", "scope", "uri", "rtype"]
+    one = records.where("id is not null").select("*", F.col("id.uri").alias("uri"), F.posexplode_outer("attrs").alias("pos", "attr"))
+    same = [F.col("attr.name.uri").alias("k0"), F.col("attr.value.kind").alias("k1"), F.col("attr.value.cmp").alias("k2")]
+    # a record's formal values are counted with its first attribute only, or with none if it has no attributes
+    head = "coalesce(pos, 0) = 0"
+    part = one.groupBy(*key, *same).agg(
+        F.expr(f"min(struct(seq, id)) filter (where {head})").alias("at"),
+        F.expr(f"count_if({head})").alias("n"),
+        F.min(F.struct("seq", "pos", "attr")).alias("attr"),
+        *[F.expr(f"min(struct(seq, {c} as v)) filter (where {head} and {c} is not null)").alias(c) for c in (*ARGS, *TIMES)],
+        *[fn(F.when(F.expr(head), _cmp(c))).alias(f"{fn.__name__}_{c}") for c in (*ARGS, *TIMES) for fn in (F.min, F.max)],
     )
-    return out.withColumn("attrs", V.distinct_attributes(F.col("attrs")))
+    clash = [F.when(F.min(f"min_{c}") != F.max(f"max_{c}"), F.lit(c)) for c in (*ARGS, *TIMES)]
+    lists = F.collect_list(F.when(F.col("attr.attr").isNotNull(), F.col("attr")))
+    out = part.groupBy(*key).agg(
+        F.min("at").alias("at"), *[F.min(c)["v"].alias(c) for c in (*ARGS, *TIMES)], F.transform(F.sort_array(lists), lambda a: a["attr"]).alias("attrs"), F.array_compact(F.array(*clash)).alias("conflicts"), F.sum("n").alias("n")
+    )
+    return out.withColumn("seq", F.col("at.seq")).withColumn("id", F.col("at.id"))
 
 
 def unify(records: DataFrame, strict: bool = False, unique: bool = False) -> DataFrame:
