@@ -47,10 +47,11 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(pages.limit(0), spark.createDataFrame(rules, "verdict string, host string, path string")).count() == 0
 
 
-def test_exact_duplicates(docs, none):
+def test_exact_duplicates(docs, none, monkeypatch):
     rows = docs.select("doc_id", "text").collect()
     body = lambda t: re.sub(r"[\x20\x09-\x0d]+", "", t or "")
-    for capacity in (1, 20_000):
+    for capacity, bits in ((1, 14), (20_000, 14), (1, 2)):
+        monkeypatch.setattr(exact_dedup, "COUNTED_BITS", bits)
         out = exact_dedup.exact_duplicates(docs, capacity=capacity).collect()
         assert len(out) == len(rows)
         for r in out:
@@ -72,6 +73,27 @@ def test_extendible_directory():
         assert k >> (6 - local) == prefix
 
 
+def test_owners_have_whole_buckets(spark):
+    counts = {int(k): int(n) for k, n in enumerate(np.random.default_rng(2).integers(0, 9, 1 << 6))} | {17: 500}
+    total = sum(counts.values())
+    _, _, buckets = exact_dedup.build_directory(counts, 20, 6)
+    dealt = exact_dedup.deal_buckets(buckets, 20)
+    order = sorted(range(len(buckets)), key=lambda b: dealt[b][2])
+    # in the order of keys
+    assert [buckets[b][1] / 2 ** buckets[b][0] for b in order] == sorted(p / 2**d for d, p, _ in buckets)
+    at = 0
+    for b in order:
+        (local, prefix, n), (_, extra, number, _, keys) = buckets[b], dealt[b]
+        assert number == at and n == keys <= 20 << extra and (extra == 0) == (n <= 20)
+        at += 1 << extra
+    parts = [(*dealt[b], part) for b in order for part in range(1 << dealt[b][1])]
+    rows = spark.createDataFrame(parts, "local int, extra int, number long, before long, n long, part long")
+    owners = [r.owner for r in rows.selectExpr("number + part as bucket", exact_dedup._OWNER_OF.format(owners=7, total=total) + " as owner").orderBy("bucket").collect()]
+    load = np.bincount(owners, [n / (1 << extra) for _, extra, _, _, n, _ in parts], 7)
+    assert owners == sorted(owners) and load.max() <= total / 7 + 20 and load.min() >= total / 7 - 20
+    assert exact_dedup.deal_buckets([(0, 0, 0)], 1) == [(0, 0, 0, 0, 0)]
+
+
 def test_bpe_equals_the_library(spark, docs, none):
     from tokenizers import Tokenizer
 

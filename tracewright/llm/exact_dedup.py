@@ -2,8 +2,11 @@
 
 The index key of a text is the first 64 bits of the SHA-256 of its normalised bytes.
 A directory of 2**depth entries maps leading key bits to buckets; it doubles while a
-bucket with more keys than its capacity needs another bit. Owner tasks take whole
-buckets (key ranges), chain the entries of equal keys and compare their bytes.
+bucket with more keys than its capacity needs another bit. Buckets that are overfull
+when the counted bits are used up are split on by as many bits of the key as their count
+asks for. The directory deals buckets to owner tasks: each owns a run of whole buckets
+in the order of keys, chains the entries of equal keys, compares their bytes, and writes
+its part of the index, ordered by bucket, to the shared folder.
 Equal texts of one input task are combined before they are sent, so a text with very
 many copies costs its owner one row for each input task.
 """
@@ -28,6 +31,9 @@ COMBINE_BYTES = 48 << 20
 #: Leading key bits that are counted to size the directory: 2**14 counts at most go to the driver.
 COUNTED_BITS = 14
 
+#: Buckets that each owner task has on average at least: small tables have smaller buckets.
+OWNED = 8
+
 _ROWS = T.StructType([T.StructField("rep", T.StringType()), T.StructField("n_points", T.LongType()), T.StructField("key", T.LongType()), T.StructField("sha", T.StringType()), T.StructField("body", T.BinaryType())])
 
 
@@ -98,6 +104,24 @@ def build_directory(counts: dict[int, int], capacity: int, counted_bits: int = C
     return depth, directory, buckets
 
 
+def deal_buckets(buckets: list[tuple[int, int, int]], capacity: int) -> list[tuple[int, int, int, int, int]]:
+    """(local depth, extra bits, number, keys before, keys) of each bucket of build_directory().
+
+    extra is what an overfull bucket is split on by; its 2**extra parts are numbered from
+    number on. Numbers and keys before go by the order of keys over all buckets."""
+    before, number, dealt = 0, 0, {}
+    for b in sorted(range(len(buckets)), key=lambda b: buckets[b][1] / (1 << buckets[b][0])):
+        local, _, n = buckets[b]
+        extra = min(max(-(-n // capacity) - 1, 0).bit_length(), 63 - local)
+        dealt[b] = (local, extra, number, before, n)
+        before, number = before + n, number + (1 << extra)
+    return [dealt[b] for b in range(len(buckets))]
+
+
+#: The task that owns a bucket: that in whose equal share of all keys its first one is. A bucket has one owner, and an owner a run of buckets.
+_OWNER_OF = "cast(((before + part * n div shiftleft(1L, extra)) * {owners} div {total}) as int)"
+
+
 def _owner(batches):
     """Reads its buckets sorted by key; holds the chain of one key at a time."""
     at, chain = None, []
@@ -114,7 +138,7 @@ def _owner(batches):
                 link = len(chain)
                 chain.append(body)
             links.append(link)
-        yield pa.RecordBatch.from_arrays([pa.array(reps, pa.string()), pa.array(keys, pa.int64()), pa.array(links, pa.int32())], names=["rep", "key", "link"])
+        yield pa.RecordBatch.from_arrays([batch.column("bucket"), pa.array(reps, pa.string()), pa.array(keys, pa.int64()), pa.array(links, pa.int32())], names=["bucket", "rep", "key", "link"])
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 20_000) -> DataFrame:
@@ -126,7 +150,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     one with the smallest id (null ids last). Repeated rows count each in group_size and,
     being indistinguishable, are all kept or all dropped. kept is null-safe: a row stays
     where its id is keep_id. Other columns are not read. No rows give no rows. capacity:
-    distinct keys in a bucket before it is split.
+    entries (distinct texts of input tasks) in a bucket before it is split.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(_digest_rows, T.StructType([T.StructField("id", docs.schema[id_col].dataType), *_ROWS]))
@@ -135,17 +159,18 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # leading bits of the key as an unsigned number
     prefix = F.shiftrightunsigned("key", 64 - COUNTED_BITS).cast("int")
     counts = {r.prefix: r.n for r in entries.groupBy(prefix.alias("prefix")).agg(F.count("*").alias("n")).collect()}
-    depth, directory, buckets = build_directory(counts, capacity)
-    if depth:
-        slot = F.shiftrightunsigned("key", 64 - depth)
-        table = spark.createDataFrame([(int(i), int(b)) for i, b in enumerate(directory)], "slot long, bucket int")
-        entries = entries.withColumn("slot", slot).join(F.broadcast(table), "slot").drop("slot")
-    else:
-        entries = entries.withColumn("bucket", F.lit(0))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    # a task owns a range of keys: its buckets, or where one bucket holds all, parts of it
-    owned = entries.repartitionByRange(parts, "bucket", "key").sortWithinPartitions("key")
-    chained = materialize(owned.select("key", "rep", "body").mapInArrow(_owner, "rep string, key long, link int"), "exact-chains")
+    capacity = max(min(capacity, sum(counts.values()) // (OWNED * parts)), 1)
+    depth, directory, buckets = build_directory(counts, capacity, COUNTED_BITS)
+    table = [(slot, *dealt) for slot, dealt in enumerate(map(deal_buckets(buckets, capacity).__getitem__, directory.tolist()))]
+    table = spark.createDataFrame(table, "slot long, local int, extra int, number long, before long, n long")
+    slot = F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("long")
+    placed = entries.withColumn("slot", slot).join(F.broadcast(table), "slot")
+    placed = placed.withColumn("part", F.expr("if(extra = 0, 0L, shiftrightunsigned(shiftleft(key, local), 64 - extra))"))
+    owner = F.expr(_OWNER_OF.format(owners=parts, total=max(sum(counts.values()), 1)))
+    placed = placed.select((F.col("number") + F.col("part")).alias("bucket"), owner.alias("owner"), "key", "rep", "body")
+    owned = placed.repartitionById(parts, "owner").sortWithinPartitions("bucket", "key")
+    chained = materialize(owned.select("bucket", "key", "rep", "body").mapInArrow(_owner, "bucket long, rep string, key long, link int"), "exact-index")
     # a text's rows of one task come to one row before any join, so copies never share a join key beyond a task's
     best = F.min(F.struct((-F.col("n_points")).alias("shorter"), F.col("id").isNull().alias("no_id"), "id"))
     per_rep = rows.groupBy("rep").agg(best.alias("best"), F.count("*").alias("n")).join(chained, "rep")
