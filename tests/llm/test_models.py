@@ -79,3 +79,28 @@ def test_windows_for_training():
     cut = toxicity.cut_windows(long)
     assert len(cut) == toxicity.TRAIN_WINDOWS and cut == toxicity.cut_windows(long)
     assert max(map(len, cut)) <= toxicity.TRAIN_CHARS
+
+
+def test_training_batches_keep_distinct_words_only():
+    """Windows of words that repeat are held as codes: a list of all words takes many times as much."""
+    import tracemalloc
+
+    cuts = [[" ".join(f"word{(i * 7 + j) % 500}" for j in range(64)) for i in range(60)] for _ in range(50)]
+    toxicity.Batch.of_windows([["some words"]])
+    tracemalloc.start()
+    batch = toxicity.Batch.of_windows(cuts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(batch.words) == 477 and batch.ids.nbytes == 4 * 64 * 3000
+    assert most < 6 * batch.ids.nbytes
+
+
+def test_parts_of_a_table_are_the_whole(monkeypatch):
+    cuts = [[f"a{i} bb{i} ccc{i % 7}" for i in range(40)]]
+    whole = toxicity.Batch.of_windows(cuts)
+    p = toxicity.start(whole, np.array([1]), np.random.default_rng(1))
+    expected = whole.table(p)
+    monkeypatch.setattr(toxicity, "PART", 3)
+    cut = toxicity.Batch.of_windows(cuts)
+    assert all((a == b).all() for a, b in zip(whole.features, cut.features)) and (cut.table(p) == expected).all()
+    assert (cut.table(p, np.array([5, 0, 60])) == expected[[5, 0, 60]]).all()

@@ -10,9 +10,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
+from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +37,9 @@ WORD_DROPOUT, BLANK = 0.5, 0.35
 WORD_BITS, GRAM_BITS, GRAMS = 14, 16, (3, 4, 5)
 WORD_DIM, GRAM_DIM, HIDDEN, ATTEND = 4, 8, 8, 8
 
+#: Distinct words whose n-grams are cut, and looked up, at a time.
+PART = 8192
+
 _WORD = re.compile(r"[^\W_]+")
 _U = np.uint32
 #: Input of padding: an update gate that keeps the state.
@@ -103,25 +107,35 @@ class Batch:
         found = [_WORD.findall(t.lower()) if t else [] for t in texts]
         counts = np.fromiter(map(len, found), np.int64, len(found))
         text, first, size = windows(counts)
-        self._fill([w for ws in found for w in ws], text, (np.cumsum(counts) - counts)[text] + first, size)
+        import pandas as pd  # not in the driver, which learns from windows
+
+        codes, words = pd.factorize(np.array([w for ws in found for w in ws], dtype=object))
+        self._fill(codes, list(words), text, (np.cumsum(counts) - counts)[text] + first, size)
 
     @classmethod
     def of_windows(cls, cuts: list[list[str]]) -> Batch:
-        """A batch of windows that cut_windows() made of each text."""
-        batch, found = cls.__new__(cls), [w.split(" ") for own in cuts for w in own]
-        size = np.fromiter(map(len, found), np.int64, len(found))
+        """A batch of windows that cut_windows() made of each text. Only distinct words are
+        kept as such, and the rest as four bytes a word."""
+        batch, code, codes, size = cls.__new__(cls), {}, array("i"), array("i")
+        for own in cuts:
+            for window in own:
+                words = window.split(" ")
+                codes.extend([code.setdefault(w, len(code)) for w in words])
+                size.append(len(words))
+        size = np.array(size, np.int64)
         text = np.repeat(np.arange(len(cuts)), np.fromiter(map(len, cuts), np.int64, len(cuts)))
-        batch._fill([w for ws in found for w in ws], text, np.cumsum(size) - size, size)
+        batch._fill(np.frombuffer(codes, np.int32) if codes else np.zeros(0, np.int32), list(code), text, np.cumsum(size) - size, size)
         return batch
 
-    def _fill(self, every: list[str], text: np.ndarray, starts: np.ndarray, size: np.ndarray) -> None:
-        codes, words = pd.factorize(np.array(every, dtype=object))
-        self.words, self.text, self.size = list(words), text, size
-        place = np.arange(LENGTH)[:, None]
-        pad = place >= self.size
-        codes = np.append(codes, len(words))
-        self.ids = codes[np.where(pad, len(codes) - 1, starts + place)]
-        self.features = word_features(self.words)
+    def _fill(self, codes: np.ndarray, words: list[str], text: np.ndarray, starts: np.ndarray, size: np.ndarray) -> None:
+        self.words, self.text, self.size = words, text, size
+        codes = np.append(codes, len(words)).astype(np.int32)
+        self.ids = np.empty((LENGTH, len(size)), np.int32)
+        for place in range(LENGTH):
+            self.ids[place] = codes[np.where(place >= size, len(codes) - 1, starts + place)]
+        made = [word_features(words[i : i + PART]) for i in range(0, max(1, len(words)), PART)]
+        begin = np.cumsum(np.concatenate([[0], *[np.diff(b) for _, _, b in made]]))
+        self.features = np.concatenate([w for w, _, _ in made]), np.concatenate([g for _, g, _ in made]), begin
 
     def table(self, p: dict, picked: np.ndarray | None = None) -> np.ndarray:
         """Inputs of the distinct words, or of those picked."""
@@ -132,8 +146,9 @@ class Batch:
             word, gram, begin = word[picked], gram[at], np.append(0, np.cumsum(n))
         x = np.empty((len(word), WORD_DIM + GRAM_DIM), np.float32)
         x[:, :WORD_DIM] = p["word"][word]
-        if len(word):
-            x[:, WORD_DIM:] = np.add.reduceat(p["gram"][gram], begin[:-1]) / n[:, None]
+        for i in range(0, len(word), PART):
+            first, some = begin[i], n[i : i + PART, None]
+            x[i : i + PART, WORD_DIM:] = np.add.reduceat(p["gram"][gram[first : first + some.sum()]], begin[i : i + len(some)] - first) / some
         return x
 
 
@@ -215,7 +230,7 @@ def backward(p: dict, batch: Batch, used: np.ndarray, ids: np.ndarray, x: np.nda
     return g
 
 
-def _log_odds(buckets: list[np.ndarray], label: np.ndarray, size: int) -> np.ndarray:
+def _log_odds(buckets: Iterable[np.ndarray], label: np.ndarray, size: int) -> np.ndarray:
     """Shrunk log-odds of label 1 of each bucket, given the buckets of each text."""
     count = np.zeros((2, size))
     for y, own in zip(label, buckets):
@@ -240,8 +255,8 @@ def start(batch: Batch, label: np.ndarray, rng: np.random.Generator) -> dict:
     for i in range(len(label)):
         own = np.unique(batch.ids[:, batch.text == i])
         words.append(own[own < len(batch.words)])
-    p["word"][:, 0] = _log_odds([word[w] for w in words], label, 1 << WORD_BITS)
-    p["gram"][:, 0] = _log_odds([gram[_ranges(begin, w)[0]] for w in words], label, 1 << GRAM_BITS)
+    p["word"][:, 0] = _log_odds((word[w] for w in words), label, 1 << WORD_BITS)
+    p["gram"][:, 0] = _log_odds((gram[_ranges(begin, w)[0]] for w in words), label, 1 << GRAM_BITS)
     return p
 
 
