@@ -21,3 +21,9 @@ def test_quads_are_never_sent_to_the_driver(spark):
     assert "Broadcast" not in plan(triples.conflicts(quads(spark)))
     assert "Broadcast" not in plan(triples.from_quads(quads(spark)))
     assert triples.from_quads(quads(spark)).count() == 20
+
+
+def test_a_table_of_properties_does_not_deal_quads_by_property(spark):
+    kinds = spark.createDataFrame([("http://e/made", "Generation")], "p string, kind string")
+    read = triples.with_properties(quads(spark), triples.relation_properties(kinds))
+    assert "BroadcastHashJoin" in plan(read) and "SortMergeJoin" not in plan(read)
