@@ -82,3 +82,12 @@ def test_autodetect(spark, document):
     rdf = spark.createDataFrame([("r", "<http://e/a> <http://www.w3.org/1999/02/22-rdf-syntax-ns#type> <http://www.w3.org/ns/prov#Entity> .")], "doc_id string, text string")
     got = read.from_content(texts.union(rdf)).groupBy("doc_id").agg(F.count("*").alias("n"))
     assert {r.doc_id: r.n for r in got.collect()} == {"d": 9, "r": 1}
+
+
+def test_rows_of_a_long_document_come_in_parts(spark):
+    from tracewright.sources import statements
+
+    assert [len(p) for p in statements.parts(list(range(2 * statements.PART + 5)))] == [statements.PART, statements.PART, 5]
+    docs = spark.createDataFrame([("long", str(statements.PART + 3)), ("none", "0")], "doc_id string, text string")
+    flat = statements.flatten_documents(docs, lambda text: ({"what": "statement", "seq": i} for i in range(int(text))))
+    assert [tuple(r) for r in flat.groupBy("doc_id").agg({"seq": "max", "*": "count"}).select("doc_id", "max(seq)", "count(1)").collect()] == [("long", statements.PART + 2, statements.PART + 3)]
