@@ -73,6 +73,42 @@ def test_near_duplicates_edge_tables(spark):
     assert sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in out) == [(-1, -1, True), (-1, -1, True), (-1, 5, False), (5, 5, True)]
 
 
+def test_large_group_below_the_similarity(spark, monkeypatch):
+    """Copies of one text with so many edits that few are linked: pairs looked at don't grow with the square of the group."""
+    rng = random.Random(12)
+    base = rng.choices(WORDS, k=150)
+    rows = []
+    for i in range(400):
+        own = list(base)
+        for j in rng.sample(range(150), rng.choice([1, 2, 6, 7, 8, 9])):
+            own[j] = f"own{i}x{j}"
+        rows.append((i, " ".join(own)))
+    compared = []
+
+    def counted(members, facts, verify, *rest):
+        def count(pairs):
+            compared.append(pairs.count())
+            return verify(pairs)
+
+        return components.bucket_components(members, facts, count, *rest)
+
+    monkeypatch.setattr(minhash, "bucket_components", counted)
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()
+    sets = [shingles(t, 4) for _, t in rows]
+    root = union_find(len(rows), [(a, b) for b in range(len(sets)) for a in range(b) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])])
+    assert {r.doc_id: r.component_id for r in out} == dict(enumerate(root)) and len(set(root)) > 100
+    assert sum(compared) <= 12 * len(rows)
+
+
+def test_parity_maps_differ_no_more_than_sets():
+    rng = np.random.default_rng(5)
+    for n in (1, 40, 900):
+        a, b = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)), np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        b[: n // 2] = a[: n // 2]
+        bits = sum(bin(int(x)).count("1") for x in (minhash.parity_map(a) ^ minhash.parity_map(np.unique(b))).view(np.uint64))
+        assert 0 < bits <= len(np.setxor1d(a, b))
+
+
 def test_super_minhash_estimates():
     rng = np.random.default_rng(4)
     for overlap in (50, 160, 900):

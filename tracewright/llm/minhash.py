@@ -33,6 +33,21 @@ def max_different(similarity: int) -> int:
     return math.ceil(SIZE * p + 4.5 * math.sqrt(SIZE * p * (1 - p)))
 
 
+#: Bits of a parity map, each of which tells whether an odd number of a set's shingles fall on it. Two maps
+#: differ in no more bits than the sets do in shingles, so a map rules out no true pair.
+PARITY_BITS = 1024
+
+
+def max_of_parity(similarity: int) -> int:
+    """Sets of more shingles may differ in so many that parity maps tell little; they have a sketch, too."""
+    return PARITY_BITS * 27 * (100 + similarity) // (200 * (100 - similarity)) if similarity < 100 else 1 << 40
+
+
+def parity_map(shingles: np.ndarray) -> np.ndarray:
+    odd = np.bincount((shingles >> _U(54)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 #: Texts whose signatures are made together; bounds the table of permutations.
 GROUP = 100
 
@@ -100,7 +115,9 @@ def _swap(order: np.ndarray, level: int, place: np.ndarray) -> None:
     order[:, level] = taken
 
 
-def _features(words: int, bands: int, rows: int):
+def _features(words: int, bands: int, rows: int, similarity: int):
+    most = max_of_parity(similarity)
+
     def run(texts: list) -> dict:
         sets = shingle_sets(texts, words)
         signature = np.concatenate([super_minhash(sets[i : i + GROUP], SIZE) for i in range(0, len(sets), GROUP)])
@@ -110,7 +127,10 @@ def _features(words: int, bands: int, rows: int):
             for r in range(rows):
                 key = mix64(key + parts[:, :, r])
         sketch = np.bitwise_or.reduce((signature & _U(15)).reshape(len(sets), -1, 16) << (_U(4) * np.arange(16, dtype=np.uint64)), axis=2)
-        return {"n_shingles": [len(s) for s in sets], "node": [_digest(s) for s in sets], "bands": [k if len(s) else [] for k, s in zip(key.view(np.int64), sets)], "sketch": list(sketch.view(np.int64))}
+        # of two sets that may be similar both have a sketch if one is large
+        parity = [parity_map(s) for s in sets]
+        sketches = [k if 100 * len(s) >= most * similarity else None for k, s in zip(sketch.view(np.int64), sets)]
+        return {"n_shingles": [len(s) for s in sets], "node": [_digest(s) for s in sets], "bands": [k if len(s) else [] for k, s in zip(key.view(np.int64), sets)], "sketch": sketches, "parity": parity}
 
     return run
 
@@ -125,7 +145,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts are linked when 100 * |A and B| >= similarity * |A or B| of their sets of
     distinct `words`-word shingles, found by bands of `rows` SuperMinHash components and
     confirmed on the full sets. Pairs at similarity 0.8 share no band with probability
-    (1 - 0.8**rows) ** bands, 1e-6 by default, and fail the sketch with one below 1e-5. component_id is the smallest
+    (1 - 0.8**rows) ** bands, 1e-6 by default, and fail the sketch, which only large sets have, with one below 1e-5. component_id is the smallest
     id reachable by links; kept is true where it is the row's own.
 
     Null and word-less texts have no shingle, are linked with nothing and kept. Rows with
@@ -134,13 +154,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept true. Other columns are not read. No rows give no rows.
     """
     docs = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    fields = [T.StructField("n_shingles", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType()))]
-    rows_of = materialize(annotate(docs, _features(words, bands, rows), fields, "text", ["id"]), "signatures")
+    fields = [T.StructField("n_shingles", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType())), T.StructField("parity", T.ArrayType(T.LongType()))]
+    rows_of = materialize(annotate(docs, _features(words, bands, rows, similarity), fields, "text", ["id"]), "signatures")
     # one node for all rows with the same set; any of its rows gives its bands
-    nodes = materialize(rows_of.where("node is not null").groupBy("node").agg(F.min("id").alias("first"), F.min("n_shingles").alias("n"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch")), "nodes")
-    parts = [f"s{i}" for i in range(SIZE // 16)]
+    nodes = materialize(rows_of.where("node is not null").groupBy("node").agg(F.min("id").alias("first"), F.min("n_shingles").alias("n"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch"), F.min("parity").alias("parity")), "nodes")
     members = nodes.select("node", F.explode("bands").alias("bucket"))
-    facts = nodes.select("node", "n", *[F.col("sketch")[i].alias(c) for i, c in enumerate(parts)])
+    numbers = range(PARITY_BITS // 64)  # a column each, which is faster to compare than an array
+    facts = nodes.select("node", "n", "sketch", *[F.get("parity", F.lit(i)).alias(f"parity{i}") for i in numbers])
 
     def verify(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -155,10 +175,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         joined = pairs.join(one, "a").join(two, "b").select("a", "b", both.alias("both"), (F.size("of_a") + F.size("of_b")).alias("total"))
         return joined.where(f"100 * both >= {similarity} * (total - both)").select("a", "b")
 
-    # a component differs where any of its four bits does
-    ones = 0x1111111111111111
-    differ = [f"bit_count(({x} | shiftrightunsigned({x}, 1) | shiftrightunsigned({x}, 2) | shiftrightunsigned({x}, 3)) & {ones}L)" for x in (f"(x.{c} ^ y.{c})" for c in parts)]
-    near = f"100 * least(x.n, y.n) >= {similarity} * greatest(x.n, y.n) and {' + '.join(differ)} <= {max_different(similarity)}"
+    # a component of the sketch differs where any of its four bits does
+    ones, most = 0x1111111111111111, max_of_parity(similarity)
+    differ = f"aggregate(zip_with(x.sketch, y.sketch, (p, q) -> bit_count(((p ^ q) | shiftrightunsigned(p ^ q, 1) | shiftrightunsigned(p ^ q, 2) | shiftrightunsigned(p ^ q, 3)) & {ones}L)), 0, (n, d) -> n + d)"
+    odd = [f"bit_count(x.parity{i} ^ y.parity{i})" for i in numbers]
+    # similar sets differ in so many shingles at most: difference * (100 + similarity) <= (100 - similarity) * total
+    small = f"({' + '.join(odd)}) * {100 + similarity} <= {100 - similarity} * (x.n + y.n)"
+    large = f"{differ} <= {max_different(similarity)}"
+    near = f"100 * least(x.n, y.n) >= {similarity} * greatest(x.n, y.n) and {small} and (greatest(x.n, y.n) <= {most} or {large})"
     label = bucket_components(members, facts, verify, near, "near")
     smallest = nodes.join(label, "node").groupBy("component").agg(F.min("first").alias("component_id"))
     named = label.join(smallest, "component").select("node", "component_id")
