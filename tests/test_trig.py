@@ -51,3 +51,36 @@ def test_records_are_read_back(spark):
     spaces = spark.createDataFrame([("d", "", 0, "ex", "http://e/"), ("d", "", 1, "1bad", "http://x/")], names.SCHEMA)
     text = write.serialize(records, "trig", spaces)
     assert setops.equal(read.from_content(text, "rdf"), records)
+
+
+def test_labels_of_the_text_are_kept_apart(spark):
+    text = '@prefix ex: <http://e/> . _:anon1 ex:p "1" . ex:a ex:q [ ex:p "2" ] . ex:b ex:q [ ex:p _:anon2 ] . ex:c ex:q [ ex:p "3" ; ex:q [ ] ] .'
+    quads = read.quads_of(spark.createDataFrame([("d", text)], "doc_id string, text string")).collect()
+    said = {}
+    for r in quads:
+        said.setdefault(r.s.lex, []).append(r.p[-1] + (r.o.lex if r.o.kind == "literal" else ""))
+    assert sorted(sorted(v) for k, v in said.items() if not k.startswith("http")) == [["p"], ["p1"], ["p2"], ["p3", "q"]]
+
+
+def test_long_texts_that_break_off_give_nothing(spark, monkeypatch):
+    line = "ex:a ex:p ex:b{} . "
+    rows = [("good", "@prefix ex: <http://e/> . " + "".join(line.format(i) for i in range(300_000))), ("bad", "@prefix ex: <http://e/> . " + "".join(line.format(i) for i in range(300_000)) + "ex:a ex:p"), ("short", "ex:a ex:p ex:b ."), (None, None)]
+    assert all(len(t) > read.WHOLE for d, t in rows[:2])
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    assert [tuple(r) for r in read.quads_of(docs).groupBy("doc_id").count().collect()] == [("good", 300_000)]
+    assert [tuple(r) for r in read.prefixes_of(docs).collect()] == [("good", "", 0, "ex", "http://e/")]
+
+
+def test_quads_are_made_once_and_not_broadcast(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    n = 500
+    iri = "struct('iri' as kind, {} as lex, cast(null as string) as datatype, cast(null as string) as lang)"
+    rows = spark.range(n).select(F.lit("d").alias("doc_id"), F.lit(None).cast("string").alias("graph"), F.expr(iri.format("concat('http://e/', id)")).alias("s"), F.lit("http://e/p").alias("p"), F.expr(iri.format("'http://e/o'")).alias("o"))
+    text = write_trig.trig_text(rows.mapInArrow(count, rows.schema), spark.createDataFrame([("d", "", 0, "ex", "http://e/")], names.SCHEMA)).collect()[0].text
+    assert text.count("ex:p ex:o") == n and made.value == n
