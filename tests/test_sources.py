@@ -91,3 +91,9 @@ def test_rows_of_a_long_document_come_in_parts(spark):
     docs = spark.createDataFrame([("long", str(statements.PART + 3)), ("none", "0")], "doc_id string, text string")
     flat = statements.flatten_documents(docs, lambda text: ({"what": "statement", "seq": i} for i in range(int(text))))
     assert [tuple(r) for r in flat.groupBy("doc_id").agg({"seq": "max", "*": "count"}).select("doc_id", "max(seq)", "count(1)").collect()] == [("long", statements.PART + 2, statements.PART + 3)]
+
+
+def test_names_for_xml_with_and_without_escapes(spark):
+    names = {"ok-1.2_b": "ok-1.2_b", "a\n": "a_x000A_", "1a": "_x0031_a", "a_x0041_": "a_x005F_x0041_", "A_x12": "A_x12", "a b": "a_x0020_b"}
+    rows = spark.createDataFrame([(n,) for n in names], "n string").select("n", write.escape_name(F.col("n")).alias("e"), write.unescape_name(write.escape_name(F.col("n"))).alias("back")).collect()
+    assert {r.n: r.e for r in rows} == names and all(r.back == r.n for r in rows)
