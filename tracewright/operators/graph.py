@@ -27,14 +27,22 @@ def edges(records: DataFrame, merged: bool = True) -> DataFrame:
     named by an earlier relation whose roles do."""
     own = records.where("scope = ''")
     own = unify(own) if merged else own
+    ends = _ends(own)
+    clear = ends.where(~F.col("rtype").isin(VAGUE))
+    return clear.unionByName(_explained(own, ends.where(F.col("rtype").isin(VAGUE))))
+
+
+def _explained(own: DataFrame, rest: DataFrame) -> DataFrame:
+    """The relations `rest` (doc_id, seq, src, dst and more) whose ends are declared in own, or
+    named by an earlier relation whose roles tell a kind. Only names that rest has are looked up."""
     known = elements(own).select("doc_id", F.col("id.uri").alias("uri"), F.lit(-1).cast("long").alias("since"))
     clear = _ends(own).where(~F.col("rtype").isin(VAGUE))
     named = clear.select("doc_id", F.explode(F.array("src", "dst")).alias("uri"), F.col("seq").alias("since"))
-    since = known.unionByName(named).groupBy("doc_id", "uri").agg(F.min("since").alias("since"))
-    rest = _ends(own).where(F.col("rtype").isin(VAGUE))
+    asked = rest.select("doc_id", F.explode(F.array("src", "dst")).alias("uri")).distinct()
+    since = known.unionByName(named).join(asked, ["doc_id", "uri"], "left_semi").groupBy("doc_id", "uri").agg(F.min("since").alias("since"))
     for side in ("src", "dst"):
         rest = rest.join(since.withColumnRenamed("uri", side), ["doc_id", side]).where("since < seq").drop("since")
-    return clear.unionByName(rest)
+    return rest
 
 
 def nodes(records: DataFrame, merged: bool = True) -> DataFrame:
@@ -58,9 +66,10 @@ def _inferred(own: DataFrame, known: DataFrame) -> DataFrame:
 def to_records(records: DataFrame) -> DataFrame:
     """The records that the graph of a document stands for: unified elements and the relations that became edges."""
     own = unify(records.where("scope = ''"))
-    kept = edges(own, merged=False).select("doc_id", "seq", "rtype", "src", "dst").distinct()
-    rel = relations(own).withColumn("src", F.col("arg1.uri")).withColumn("dst", F.col("arg2.uri"))
-    return elements(own).select(*COLUMNS).unionByName(rel.join(kept, ["doc_id", "seq", "rtype", "src", "dst"], "left_semi").select(*COLUMNS))
+    rel = relations(own).where("arg1 is not null and arg2 is not null").withColumn("src", F.col("arg1.uri")).withColumn("dst", F.col("arg2.uri"))
+    # a relation whose roles tell a kind is an edge by itself: only the others are looked up
+    vague = _explained(own, rel.where(F.col("rtype").isin(VAGUE)))
+    return elements(own).select(*COLUMNS).unionByName(rel.where(~F.col("rtype").isin(VAGUE)).select(*COLUMNS)).unionByName(vague.select(*COLUMNS))
 
 
 # Shape and colour of each kind in the usual drawings.
