@@ -164,6 +164,23 @@ def test_quality(spark, docs, none):
     assert quality.log_ratios(none, none).where("ratio <> 0").count() == 0
 
 
+def test_quality_counts_every_trusted_text(spark):
+    docs = spark.range(20_400).selectExpr("id as doc_id", "concat('w', id % 700) as text")
+    assert quality.log_ratios(docs, docs.select("doc_id")).where("ratio <> 0").count() == 0
+
+
+def test_quality_joins_many_trusted_texts(spark):
+    docs = spark.range(300).selectExpr("if(id % 7 = 0, null, id) as doc_id", "concat('w', id % 70, ' v', id % 3) as text")
+    rows = lambda: sorted(map(tuple, quality.log_ratios(docs, docs.where("doc_id % 2 = 0").select("doc_id")).collect()))
+    few = rows()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert rows() == few
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_mixing(spark, docs, none):
     for table in (docs, docs.where("source <=> 'a'"), none):
         rows = table.collect()
